@@ -149,11 +149,6 @@ def distinct_tags(tags: DataFrame) -> DataFrame:
     return tags.dropDuplicates()
 
 
-def union_records(*frames: DataFrame) -> DataFrame:
-    """All rows under the union of all columns, nulls where a frame lacks one."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
 def tags_in_scores(tags: DataFrame, scores: DataFrame) -> DataFrame:
     return tags.join(scores, "tag", "left_semi")
 

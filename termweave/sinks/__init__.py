@@ -83,9 +83,14 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
     ntriples_lines(triples).write.mode("overwrite").text(path)
 
 
+def union_frames(frames: list[DataFrame]) -> DataFrame:
+    """All rows under the union of all columns, nulls where a frame lacks one."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def write_records(frames: list[DataFrame], path: str, format: str = "csv") -> None:
-    """Records of several shapes under the union of their columns."""
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """Records of several shapes as one table."""
+    union = union_frames(frames)
     if format == "csv":
         _csv(union, path)
     else:
