@@ -1,0 +1,242 @@
+"""Queries that go through files: the given tables are written in a source's format and read back by its reader."""
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from termweave import sinks
+from termweave.operators import documents, taxa, terms
+from termweave.plans import jobs
+from termweave.sources import abstracts, rdf, stores, taxonomy
+from termweave.spec import OWL, RDF, RDFS, TaxonSpec
+from termweave.workload.registry import (
+    ENCODER,
+    SQL_VECTORS,
+    document_abstracts,
+    query,
+    scratch,
+    table,
+    text_of,
+    vector_tags,
+)
+from termweave.workload.terms import EX, SQL_NCBI, SQL_TAXA, part_spec, reference_lines, taxonomy_tables
+
+
+def write_pubmed(spark, sf, path):
+    """Customers as PubMed articles: two abstract parts, several ids, a heading; some lack an abstract or a doi."""
+    key, balance = text_of("c_custkey"), F.col("c_acctbal")
+    pmid_id = F.struct(key.alias("_VALUE"), F.lit("pubmed").alias("_IdType"))
+    doi = F.struct(F.concat(F.lit("10.5555/"), key).alias("_VALUE"), F.lit("doi").alias("_IdType"))
+    other = F.struct(F.lit("10.5555/other").alias("_VALUE"), F.lit("doi").alias("_IdType"))
+    ids = F.when(balance < 1000, F.array(pmid_id)).otherwise(F.array(pmid_id, doi, other))
+    texts = F.array(
+        F.struct(F.lit("Customer & of the").alias("_VALUE"), F.lit("BACKGROUND").alias("_Label")),
+        F.struct(F.concat(F.lit("<"), "c_mktsegment", F.lit("> segment.")).alias("_VALUE"), F.lit("RESULTS").alias("_Label")),
+    )
+    heading = F.struct(
+        F.struct(
+            F.col("c_mktsegment").alias("_VALUE"), F.concat(F.lit("D"), text_of("c_nationkey")).alias("_UI")
+        ).alias("DescriptorName")
+    )
+    article = F.struct(
+        F.col("c_name").alias("ArticleTitle"),
+        F.when(balance >= 0, F.struct(texts.alias("AbstractText"))).alias("Abstract"),
+    )
+    rows = table(spark, sf, "customer").select(
+        F.struct(
+            key.alias("PMID"), article.alias("Article"), F.struct(F.array(heading).alias("MeshHeading")).alias("MeshHeadingList")
+        ).alias("MedlineCitation"),
+        F.struct(F.struct(ids.alias("ArticleId")).alias("ArticleIdList")).alias("PubmedData"),
+    )
+    rows.write.format("xml").option("rowTag", "PubmedArticle").option("rootTag", "PubmedArticleSet").save(path)
+
+
+SQL_ARTICLES = """
+a AS (
+  SELECT c_custkey, c_name AS title, 'Customer & of the<' || c_mktsegment || '> segment.' AS abstract,
+         CASE WHEN c_acctbal >= 1000 THEN '10.5555/' || c_custkey END AS doi, c_custkey::VARCHAR AS pmid,
+         'D' || c_nationkey AS descriptor
+  FROM customer WHERE c_acctbal >= 0)"""
+
+
+@query("pubmed_articles", f"WITH {SQL_ARTICLES} SELECT title, abstract, doi, pmid, descriptor FROM a WHERE doi IS NOT NULL")
+def pubmed_articles(spark, sf):
+    path = scratch(spark)
+    write_pubmed(spark, sf, path)
+    flat = documents.articles_to_abstracts(abstracts.read_pubmed_xml(spark, path))
+    return documents.usable_articles(flat).withColumn("descriptor", F.array_join("descriptor", ","))
+
+
+@query(
+    "pubmed_export",
+    f"""WITH {SQL_ARTICLES} SELECT title, abstract, doi, pmid, page_id::VARCHAR AS reference_id
+    FROM a JOIN pages ON page_id = c_custkey WHERE doi IS NOT NULL""",
+)
+def pubmed_export(spark, sf):
+    """Articles joined with the identifier statements of another source, by doi."""
+    folder = scratch(spark)
+    write_pubmed(spark, sf, f"{folder}/xml")
+    reference_lines(spark, sf).write.text(f"{folder}/references")
+    return jobs.export_pubmed(spark, f"{folder}/xml", f"{folder}/references", {"dcterms": "http://purl.org/dc/terms/"})
+
+
+def write_owl(spark, sf, path):
+    """Parts as RDF/XML classes with relative ids, two languages, two synonyms and a parent."""
+
+    def element(name, value, lang=""):
+        return F.concat(F.lit(f"  <{name}{lang}>"), value, F.lit(f"</{name}>"))
+
+    name = F.col("p_name")
+    classes = table(spark, sf, "part").select(
+        F.concat_ws(
+            "\n",
+            F.concat(F.lit('<owl:Class rdf:about="#P_'), text_of("p_partkey"), F.lit('">')),
+            element("rdfs:label", name, ' xml:lang="en"'),
+            element("rdfs:label", F.concat(F.lit("fr "), name), ' xml:lang="fr"'),
+            F.concat(F.lit(f'  <rdfs:subClassOf rdf:resource="{EX}type/'), "p_type", F.lit('"/>')),
+            element("ex:note", F.concat(F.lit("Made by "), "p_brand", F.lit("."))),
+            element("ex:synonym", F.col("p_type")),
+            element("ex:synonym", F.concat(F.lit("a "), name)),
+            F.lit("</owl:Class>"),
+        ).alias("value")
+    )
+    head = (
+        f'<rdf:RDF xmlns:rdf="{RDF}" xmlns:rdfs="{RDFS}" xmlns:owl="{OWL}" xmlns:ex="{EX}"'
+        ' xml:base="http://example.org/parts">'
+    )
+
+    def as_document(batches):
+        """Every part file is a document of its own."""
+        layout = pa.schema([("value", pa.string())])
+        yield pa.RecordBatch.from_pydict({"value": [head]}, schema=layout)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, schema=layout)
+        yield pa.RecordBatch.from_pydict({"value": ["</rdf:RDF>"]}, schema=layout)
+
+    classes.mapInArrow(as_document, "value string").write.text(path)
+
+
+@query(
+    "owl_tags",
+    """SELECT 'http://example.org/parts#P_' || p_partkey AS term, p_name AS rdfs_label,
+    'Made by ' || p_brand || '. ' || p_type || '. a ' || p_name || '.' AS description FROM part""",
+)
+def owl_tags(spark, sf):
+    path = scratch(spark)
+    write_owl(spark, sf, path)
+    spec = part_spec(prefix="http://example.org/parts#", path=path)
+    return terms.build_terms(jobs.read_ontology(spark, spec), spec).select("term", "rdfs_label", "description")
+
+
+@query(
+    "owl_triples",
+    """SELECT 'http://example.org/parts#P_' || p_partkey AS s, unnest(['label', 'label', 'subClassOf', 'type']) AS p,
+    unnest([p_name, 'fr ' || p_name, 'http://example.org/type/' || p_type, 'http://www.w3.org/2002/07/owl#Class']) AS o,
+    unnest(['literal', 'literal', 'iri', 'iri']) AS o_kind, unnest(['en', 'fr', NULL, NULL]) AS lang FROM part""",
+)
+def owl_triples(spark, sf):
+    path = scratch(spark)
+    write_owl(spark, sf, path)
+    return rdf.read_owl(spark, path).select("s", F.substring_index("p", "#", -1).alias("p"), "o", "o_kind", "lang")
+
+
+def write_ncbi_dump(spark, sf, folder):
+    names, nodes, divisions = taxonomy_tables(spark, sf)
+
+    def lines(df, *columns):
+        return df.select(F.concat(F.concat_ws("\t|\t", *columns), F.lit("\t|")).alias("value"))
+
+    synonyms = names.select("tax_id", F.concat(F.lit("syn "), "name").alias("name"), F.lit("synonym").alias("kind"))
+    every = names.withColumn("kind", F.lit("scientific name")).unionByName(synonyms)
+    lines(every, "tax_id", "name", F.lit(""), "kind").write.text(f"{folder}/names.dmp")
+    lines(nodes, "tax_id", "parent_tax_id", "rank", F.lit("XX"), "division_id").write.text(f"{folder}/nodes.dmp")
+    lines(divisions, "division_id", F.lit("COD"), "division").write.text(f"{folder}/division.dmp")
+
+
+@query("ncbi_dump_tags", f"WITH {SQL_TAXA} {SQL_NCBI}")
+def ncbi_dump_tags(spark, sf):
+    folder = scratch(spark)
+    write_ncbi_dump(spark, sf, folder)
+    return jobs.build_ncbi_tags(spark, TaxonSpec(folder)).select("term", "rdfs_label", "description")
+
+
+@query(
+    "ncbi_compiled_file",
+    """SELECT c_custkey AS tax_id, c_name AS name, n_name AS parent_tax, 'customer' AS rank, lower(c_mktsegment) AS division
+    FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+)
+def ncbi_compiled_file(spark, sf):
+    """The compiled table of customers to a file and back; ids are numbers there."""
+    path = scratch(spark)
+    compiled = taxa.compile_ncbi(*taxonomy_tables(spark, sf)).where("rank = 'customer'")
+    sinks.write_compiled_ncbi(compiled.withColumn("tax_id", F.substring("tax_id", 2, 20)), path)
+    return taxonomy.read_compiled_ncbi(spark, path)
+
+
+@query(
+    "gbif_file_tags",
+    """SELECT 'https://www.gbif.org/species/' || n_nationkey AS term, n_name AS rdfs_label,
+    coalesce((SELECT string_agg(s_name, ', ' ORDER BY s_name) FROM supplier WHERE s_nationkey = n_nationkey), '') AS description
+    FROM nation""",
+)
+def gbif_file_tags(spark, sf):
+    """Full dump files with headers and short rows."""
+    folder = scratch(spark)
+    head = spark.range(1).select(F.lit("taxonID\tdatasetID\tx\ty\tz\tscientificName\trank").alias("value"))
+    nation, supplier = table(spark, sf, "nation"), table(spark, sf, "supplier")
+    full = nation.select(F.concat_ws("\t", text_of("n_nationkey"), *[F.lit("-")] * 4, "n_name", F.lit("nation")).alias("value"))
+    short = nation.select(F.concat_ws("\t", text_of("n_nationkey"), F.lit("too short")).alias("value"))
+    head.unionByName(full).unionByName(short).write.text(f"{folder}/Taxon.tsv")
+    names_head = spark.range(1).select(F.lit("taxonID\tvernacularName\tlanguage").alias("value"))
+    names = supplier.select(F.concat_ws("\t", text_of("s_nationkey"), "s_name", F.lit("en")).alias("value"))
+    names_head.unionByName(names).write.text(f"{folder}/VernacularName.tsv")
+    taxa_rows = taxonomy.read_gbif_taxa(spark, f"{folder}/Taxon.tsv", raw=True)
+    vernacular = taxonomy.read_gbif_vernacular(spark, f"{folder}/VernacularName.tsv")
+    return taxa.gbif_tags(taxa_rows, vernacular).select("term", "rdfs_label", "description")
+
+
+@query(
+    "embedding_store",
+    f"WITH {SQL_VECTORS} SELECT tag, ontology, label, len(v)::INTEGER AS width, round(v[1], 6) AS first_value FROM tags",
+)
+def embedding_store(spark, sf):
+    """Tag vectors to the partitioned store and back."""
+    path = scratch(spark)
+    sinks.write_embeddings(vector_tags(spark, sf), path, ENCODER.name, ["ontology"])
+    stored = stores.read_embeddings(spark, path, ENCODER.name)
+    first = F.get("embedding", F.lit(0)).cast("double")
+    return stored.select(
+        "tag", "ontology", "label", F.size("embedding").alias("width"), F.round(first, 6).alias("first_value")
+    )
+
+
+@query(
+    "tag_files",
+    "SELECT 'parts' AS ontology, p_partkey::VARCHAR AS term, p_name AS rdfs_label, p_type || ', \"' || p_brand || '\"' AS description FROM part",
+)
+def tag_files(spark, sf):
+    """Tags to CSV folders by ontology and back."""
+    path = scratch(spark)
+    tags = table(spark, sf, "part").select(
+        F.lit("parts").alias("ontology"),
+        text_of("p_partkey").alias("term"),
+        F.col("p_name").alias("rdfs_label"),
+        F.concat("p_type", F.lit(', "'), "p_brand", F.lit('"')).alias("description"),
+    )
+    sinks.write_tags(tags, path)
+    layout = "term string, rdfs_label string, description string, ontology string"
+    return spark.read.schema(layout).option("header", True).option("escape", '"').csv(path)
+
+
+@query(
+    "abstract_files_mixed",
+    "SELECT '10.5555/' || doc_id AS doi, length(text) AS chars FROM documents UNION ALL SELECT '10.5556/' || item_id, length(text) FROM benchmark",
+)
+def abstract_files_mixed(spark, sf):
+    """JSON lines next to a file per passage with one array on a single line."""
+    folder = scratch(spark)
+    document_abstracts(spark, sf).select("doi", "title", "abstract").write.json(f"{folder}/lines")
+    passage = F.struct(F.concat(F.lit("10.5556/"), text_of("item_id")).alias("doi"), F.col("text").alias("abstract"))
+    arrays = table(spark, sf, "benchmark").select(F.to_json(F.array(passage)).alias("value"))
+    arrays.write.text(f"{folder}/arrays")
+    read = abstracts.read_abstracts(spark, [f"{folder}/lines", f"{folder}/arrays", f"{folder}/missing"])
+    return read.select("doi", F.length("abstract").cast("long").alias("chars"))
