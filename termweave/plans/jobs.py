@@ -37,8 +37,8 @@ def read_ontology(spark: SparkSession, spec: OntologySpec) -> DataFrame:
 
 
 def build_owl_tags(spark: SparkSession, spec: AnnotationSpec, multi: str = "agg") -> DataFrame:
-    """Tags of all ontologies of the specification."""
-    parts = [terms.build_terms(read_ontology(spark, o), o, multi, spec.cap_terms) for o in spec.ontologies]
+    """Tags of all ontologies; the triples are used once per part of a query, so each file is parsed once and kept."""
+    parts = [terms.build_terms(cut(read_ontology(spark, o)), o, multi, spec.cap_terms) for o in spec.ontologies]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -42,3 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a table of few splits before costly per-row work; a table of many splits is left as it is.
+
+    For plain scans: asking a scan for its splits starts no job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -4,10 +4,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from termweave import sinks
-from termweave.operators import documents, taxa, terms
+from termweave.operators import documents, taxa
 from termweave.plans import jobs
 from termweave.sources import abstracts, rdf, stores, taxonomy
-from termweave.spec import OWL, RDF, RDFS, TaxonSpec
+from termweave.spec import OWL, RDF, RDFS, AnnotationSpec, TaxonSpec
 from termweave.workload.registry import (
     ENCODER,
     SQL_VECTORS,
@@ -124,7 +124,7 @@ def owl_tags(spark, sf):
     path = scratch(spark)
     write_owl(spark, sf, path)
     spec = part_spec(prefix="http://example.org/parts#", path=path)
-    return terms.build_terms(jobs.read_ontology(spark, spec), spec).select("term", "rdfs_label", "description")
+    return jobs.build_owl_tags(spark, AnnotationSpec(ontologies=[spec])).select("term", "rdfs_label", "description")
 
 
 @query(

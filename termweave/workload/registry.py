@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.encode import HashingEncoder
 from termweave.plans.jobs import embed_tags
-from termweave.runtime import ensure_checkpoint_dir
+from termweave.runtime import ensure_checkpoint_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,7 +66,7 @@ def vector_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_abstracts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as abstracts: the first line is the title, the whole text the abstract."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id",
         F.concat(F.lit("10.5555/"), text_of("doc_id")).alias("doi"),
         F.substring_index("text", "\n", 1).alias("title"),

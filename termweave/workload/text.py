@@ -6,7 +6,7 @@ from termweave.functions import text as tx
 from termweave.functions.encode import encode
 from termweave.operators import documents, terms
 from termweave.plans import jobs
-from termweave.runtime import cut
+from termweave.runtime import cut, spread
 from termweave.sinks import write_abstracts
 from termweave.streaming import annotate_stream
 from termweave.workload.registry import (
@@ -62,7 +62,7 @@ def dedupe_documents(spark, sf):
 )
 def encode_documents(spark, sf):
     """Vectors of whole documents, their non-zero places in long form."""
-    vectors = encode(table(spark, sf, "documents").select("doc_id", "text"), ENCODER, "text")
+    vectors = encode(spread(table(spark, sf, "documents").select("doc_id", "text")), ENCODER, "text")
     places = vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "w")).where("w <> 0")
     return places.select("doc_id", "bucket", F.round(F.col("w").cast("double"), 6).alias("weight"))
 

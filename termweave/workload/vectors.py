@@ -8,6 +8,7 @@ from termweave.operators.documents import collect_chunk_vectors
 from termweave.operators.suppress import suppress_similar_tags
 from termweave.operators.terms import tags_in_scores
 from termweave.plans import jobs
+from termweave.runtime import cut
 from termweave.workload.registry import (
     CHUNK_T,
     SQL_SUPPRESS,
@@ -70,7 +71,7 @@ def annotate(spark, sf):
 def suppress(spark, sf):
     """Every document settled in distributed rounds, the way taken for documents with very many tag pairs."""
     edges = sim.tag_edges(vector_tags(spark, sf), TAG_T)
-    return rounded(suppress_similar_tags(scores(spark, sf), edges, fold_limit=0))
+    return rounded(suppress_similar_tags(cut(scores(spark, sf)), edges, stream_limit=0))
 
 
 @query(
