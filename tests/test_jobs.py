@@ -113,12 +113,12 @@ def test_stream_runs_twice(spark, tmp_path):
         return [(r.doi, r.tag) for r in spark.read.parquet(str(tmp_path / "out" / "scores")).collect()]
 
     encoder = HashingEncoder(512)
-    tags = spark.createDataFrame([("t1", "rose"), ("t2", "moss")], "tag string, text string")
+    tags = spark.createDataFrame([("t1", "rose"), ("t2", "fern")], "tag string, text string")
     tags = tags.withColumn("embedding", encoder.column(F.col("text"))).cache()
     rose = {"title": "Rose", "abstract": "A rose.", "doi": "a"}
     land("1.json", [rose, {**rose, "title": "Rose again"}, {"title": "Nothing", "abstract": "Else.", "doi": "b"}])
     assert run() == [("a", "t1")]
-    land("2.json", [rose, {"title": "Moss", "abstract": "moss", "doi": "c"}])
+    land("2.json", [rose, {"title": "Fern", "abstract": "fern", "doi": "c"}])
     assert sorted(run()) == [("a", "t1"), ("c", "t2")]
     assert sorted(r.doi for r in spark.read.parquet(str(tmp_path / "out" / "ledger")).collect()) == ["a", "b", "c"]
 
