@@ -86,10 +86,12 @@ def annotate(
 ) -> DataFrame:
     """``doi, tag, similarity``: best cosine per document and tag, near-duplicate tags removed per document.
 
-    Tag pairs are compared only among the tags that were matched at all.
+    Tag pairs are compared only among the tags that were matched at all. The tag vectors are read several times, the
+    chunks once.
     """
+    tags = cut(tags.select("tag", "embedding"))
     scores = cut(score_tags(chunks, tags, threshold_chunk, **options))
-    edges = tag_edges(terms.tags_in_scores(tags.select("tag", "embedding"), scores), threshold_tag, **options)
+    edges = tag_edges(terms.tags_in_scores(tags, scores), threshold_tag, **options)
     return suppress_similar_tags(scores, edges)
 
 

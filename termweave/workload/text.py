@@ -61,9 +61,12 @@ def dedupe_documents(spark, sf):
     f"WITH {sql_encode('dv', 'documents', 'doc_id')} SELECT doc_id, bucket::INTEGER AS bucket, round(w, 6) AS weight FROM dv",
 )
 def encode_documents(spark, sf):
-    """Vectors of whole documents, their non-zero places in long form."""
+    """Vectors of whole documents, their non-zero places in long form.
+
+    The outer form of explode: the plain one adds a filter on the array, which would run the encoder twice.
+    """
     vectors = encode(spread(table(spark, sf, "documents").select("doc_id", "text")), ENCODER, "text")
-    places = vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "w")).where("w <> 0")
+    places = vectors.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "w")).where("w <> 0")
     return places.select("doc_id", "bucket", F.round(F.col("w").cast("double"), 6).alias("weight"))
 
 
@@ -76,7 +79,7 @@ def encode_conversations(spark, sf):
     turns = table(spark, sf, "conversations").groupBy("conv_id")
     joined = turns.agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
     whole = joined.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
-    places = encode(whole, ENCODER, "text").select("conv_id", F.posexplode("embedding").alias("bucket", "w"))
+    places = encode(whole, ENCODER, "text").select("conv_id", F.posexplode_outer("embedding").alias("bucket", "w"))
     return places.where("w <> 0").select("conv_id", "bucket", F.round(F.col("w").cast("double"), 6).alias("weight"))
 
 
@@ -88,7 +91,7 @@ def encode_conversations(spark, sf):
     SELECT 'http://example.org/benchmark/B_' || item_id AS tag, bucket::INTEGER AS bucket, round(w, 6) AS weight FROM tv""",
 )
 def encode_tags(spark, sf):
-    places = passage_tags(spark, sf).select("tag", F.posexplode("embedding").alias("bucket", "w")).where("w <> 0")
+    places = passage_tags(spark, sf).select("tag", F.posexplode_outer("embedding").alias("bucket", "w")).where("w <> 0")
     return places.select("tag", "bucket", F.round(F.col("w").cast("double"), 6).alias("weight"))
 
 
