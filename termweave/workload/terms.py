@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from termweave.functions import text as tx
 from termweave.operators import closure, documents, graph, taxa, terms
 from termweave.plans import jobs
+from termweave.runtime import spread
 from termweave.sinks import union_frames
 from termweave.sources import rdf
 from termweave.spec import RDF, RDF_LABEL, RDFS, SUBCLASS_OF, OntologySpec
@@ -383,7 +384,7 @@ def subclass_ancestors(spark, sf):
 def ntriples_round_trip(spark, sf):
     """Whole documents as literals of N-Triples lines: escaped, parsed, unescaped."""
     s = F.concat(F.lit(EX + "doc/"), text_of("doc_id"))
-    docs = table(spark, sf, "documents").where("text <> ''")
+    docs = spread(table(spark, sf, "documents")).where("text <> ''")
     lines = graph.ntriples_lines(docs.select(F.inline(F.array(_statement(s, EX + "text", F.col("text"), lang=F.col("lang"))))))
     parsed = rdf.parse_statements(lines)
     return parsed.select(

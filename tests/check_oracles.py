@@ -1,6 +1,5 @@
 """Compare registered queries with their SQL: ``python tests/check_oracles.py [sf_dir] [name ...]``."""
 
-import math
 import os
 import sys
 import time
@@ -20,13 +19,14 @@ def connect(sf):
 
 
 def plain(value):
-    if isinstance(value, float):
-        return "nan" if math.isnan(value) else (value + 0.0 if value else 0.0)
-    return tuple(map(plain, value)) if isinstance(value, (list, tuple)) else value
+    """A value with its type, so that 1 and 1.0, or 0.0 and -0.0, do not pass as equal."""
+    if isinstance(value, (list, tuple)):
+        return tuple(map(plain, value))
+    return type(value).__name__, repr(value)
 
 
 def ordered(rows):
-    return sorted((tuple(plain(v) for v in r) for r in rows), key=lambda r: tuple((v is None, str(type(v)), v) for v in r))
+    return sorted(tuple(plain(v) for v in r) for r in rows)
 
 
 def compare(spark, con, name, fn, sql, sf):
