@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from termweave.runtime import cut
-
 BROADCAST_BYTES = 256 << 20  # largest tag table sent whole to every executor
 SHARE_BYTES = 256 << 20  # tag vectors held by one task beyond that
 TASK_FLOPS = 2e12  # multiplications wanted per task, about a minute on one core
@@ -153,9 +151,11 @@ def block_join(
         F.coalesce(F.sum(F.greatest(F.size("__vector"), F.lit(0)).cast("long")), F.lit(0)),
         F.coalesce(F.sum(F.length(F.col(tag_key).cast("string"))), F.lit(0)),
     ).first()
-    if values * 8 + ids <= broadcast_bytes:
+    single = isinstance(tags.schema["__vector"].dataType.elementType, T.FloatType)
+    vector_bytes = values * (8 if single else 12)  # the given values and the float32 unit vectors
+    if vector_bytes + ids <= broadcast_bytes:
         return _with_broadcast(chunks, tags, kernel, keep, tag_key, schema)
-    return _with_shares(chunks, tags, kernel, keep, tag_key, schema, values, share_bytes)
+    return _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, values, share_bytes)
 
 
 def _with_broadcast(chunks, tags, kernel, keep, tag_key, schema) -> DataFrame:
@@ -175,51 +175,37 @@ def _with_broadcast(chunks, tags, kernel, keep, tag_key, schema) -> DataFrame:
     return chunks.mapInArrow(scan, schema)
 
 
-def _with_shares(chunks, tags, kernel, keep, tag_key, schema, tag_values, share_bytes) -> DataFrame:
+def _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, width_sum, share_bytes) -> DataFrame:
     """Grid of (chunk slice, tag share) cells; every chunk meets every share in exactly one cell.
 
-    Row numbers come from a written copy, so a lost task is redone with the same rows in the same cells. Cells are
-    filled by hashed row number: copies of one document spread evenly. Tags sort before chunks inside a cell, hence a
-    task holds one tag share and streams the rest.
+    A row's place comes from a hash of its content and of its input partition: a lost task redone gives the same
+    cells, whatever the order of its rows, and copies of one row spread over the slices. Tags sort before chunks
+    inside a cell, hence a task holds one tag share and streams the rest. The counts set slices and shares only.
     """
     spark = chunks.sparkSession
-    chunks = cut(chunks.withColumn("__row", F.monotonically_increasing_id()))
-    tags = cut(tags.withColumn("__row", F.monotonically_increasing_id()))
-    n_chunks, n_tags = chunks.count(), tags.count()
-    shares = max(1, math.ceil(tag_values * 8 / share_bytes))
-    tasks = max(spark.sparkContext.defaultParallelism, n_chunks * tag_values / TASK_FLOPS)
+    n_chunks = chunks.count()
+    shares = max(1, math.ceil(vector_bytes / share_bytes))
+    tasks = max(spark.sparkContext.defaultParallelism, n_chunks * width_sum / TASK_FLOPS)
     slices = max(1, min(math.ceil(tasks / shares), MAX_PARTITIONS, n_chunks))
 
-    def number(column: str, n: int):
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    def number(columns: list[str], n: int):
+        return F.pmod(F.xxhash64(*columns, F.spark_partition_id()), F.lit(n)).cast("int")
 
     def all_of(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    spread = [f.name for f in schema.fields[: len(keep)]]
+    tag_type = tags.schema[tag_key].dataType
+    no_keys = [F.lit(None).cast(schema[n].dataType).alias(n) for n in keep]
     tag_rows = (
-        tags.withColumn("__share", number("__row", shares))
+        tags.withColumn("__share", number([tag_key], shares))
         .withColumn("__slice", all_of(slices))
-        .select(
-            "__slice",
-            "__share",
-            F.lit(0).alias("__side"),
-            *[F.lit(None).cast(schema[n].dataType).alias(n) for n in spread],
-            F.col(tag_key).alias("__tag"),
-            "__vector",
-        )
+        .select("__slice", "__share", F.lit(0).alias("__side"), *no_keys, F.col(tag_key).alias("__tag"), "__vector")
     )
+    no_tag = F.lit(None).cast(tag_type).alias("__tag")
     chunk_rows = (
-        chunks.withColumn("__slice", number("__row", slices))
+        chunks.withColumn("__slice", number([*keep, "__vector"], slices))
         .withColumn("__share", all_of(shares))
-        .select(
-            "__slice",
-            "__share",
-            F.lit(1).alias("__side"),
-            *spread,
-            F.lit(None).cast(tags.schema[tag_key].dataType).alias("__tag"),
-            "__vector",
-        )
+        .select("__slice", "__share", F.lit(1).alias("__side"), *keep, no_tag, "__vector")
     )
     cells = (
         tag_rows.unionByName(chunk_rows)

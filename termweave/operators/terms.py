@@ -86,7 +86,7 @@ def constrained(triples: DataFrame, terms: DataFrame, spec: OntologySpec) -> Dat
         else:
             found = match(triples, p=predicate, o=wanted).where(F.col("o_kind") == kind)
             found = found.select(F.col("s").alias("term"))
-        terms = terms.join(found, "term", "left_semi")
+        terms = terms.join(found.distinct(), "term", "left_semi")
     return terms
 
 
@@ -150,7 +150,7 @@ def distinct_tags(tags: DataFrame) -> DataFrame:
 
 
 def tags_in_scores(tags: DataFrame, scores: DataFrame) -> DataFrame:
-    return tags.join(scores, "tag", "left_semi")
+    return tags.join(scores.select("tag").distinct(), "tag", "left_semi")
 
 
 def concept_links(triples: DataFrame, namespace: str) -> DataFrame:

@@ -86,12 +86,11 @@ def annotate(
 ) -> DataFrame:
     """``doi, tag, similarity``: best cosine per document and tag, near-duplicate tags removed per document.
 
-    Tag pairs are compared only among the tags that were matched at all. The tag vectors are read several times, the
-    chunks once.
+    Tag pairs are compared only among the tags that were matched at all. Chunks are read once; tags several times, so
+    pass a stored table.
     """
-    tags = cut(tags.select("tag", "embedding"))
     scores = cut(score_tags(chunks, tags, threshold_chunk, **options))
-    edges = tag_edges(terms.tags_in_scores(tags, scores), threshold_tag, **options)
+    edges = tag_edges(terms.tags_in_scores(tags.select("tag", "embedding"), scores), threshold_tag, **options)
     return suppress_similar_tags(scores, edges)
 
 
@@ -114,7 +113,8 @@ def annotate_incremental(
     chunks: DataFrame, tags: DataFrame, done: DataFrame, threshold_chunk: float, threshold_tag: float, **options
 ) -> DataFrame:
     """Annotate only the documents whose ``doi`` is not in ``done``."""
-    return annotate(chunks.join(done, "doi", "left_anti"), tags, threshold_chunk, threshold_tag, **options)
+    fresh = chunks.join(done.select("doi").distinct(), "doi", "left_anti")
+    return annotate(fresh, tags, threshold_chunk, threshold_tag, **options)
 
 
 def subclass_ancestors(triples: DataFrame, prefix: str | None = None) -> DataFrame:
@@ -157,7 +157,7 @@ def publish(
     sinks.write_ntriples(graph.annotation_triples(scores).unionByName(provenance), f"{out}/graph")
 
 
-def run_pipeline(spark: SparkSession, spec: AnnotationSpec, out: str, encoder: Encoder | None = None) -> DataFrame:
+def run_workflow(spark: SparkSession, spec: AnnotationSpec, out: str, encoder: Encoder | None = None) -> DataFrame:
     """From files to published annotations; each stage is written once and read back by the next.
 
     Stages whose table exists are reused unless ``spec.force``; documents already scored are not scored again.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.encode import HashingEncoder
 from termweave.plans.jobs import embed_tags
-from termweave.runtime import ensure_checkpoint_dir, spread
+from termweave.runtime import cut, ensure_checkpoint_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,7 +88,8 @@ def passage_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def passage_tags(spark: SparkSession, sf: str) -> DataFrame:
-    return embed_tags(passage_terms(spark, sf), ENCODER)
+    """The passages with their vectors, stored: annotation reads them several times."""
+    return cut(embed_tags(passage_terms(spark, sf), ENCODER))
 
 
 # SQL of the same inputs.

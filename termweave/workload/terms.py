@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from termweave.functions import text as tx
 from termweave.operators import closure, documents, graph, taxa, terms
 from termweave.plans import jobs
-from termweave.runtime import spread
+from termweave.runtime import cut, spread
 from termweave.sinks import union_frames
 from termweave.sources import rdf
 from termweave.spec import RDF, RDF_LABEL, RDFS, SUBCLASS_OF, OntologySpec
@@ -98,7 +98,7 @@ def build_terms(spark, sf):
 )
 def constrained_terms(spark, sf):
     constraints = {"ex:active": "true", "rdf:type": "ex:Part", "rdfs:subClassOf*": f"<{EX}type/PLAIN>"}
-    return terms.build_terms(part_triples(spark, sf), part_spec(constraints=constraints)).drop("group")
+    return terms.build_terms(cut(part_triples(spark, sf)), part_spec(constraints=constraints)).drop("group")
 
 
 @query(

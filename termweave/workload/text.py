@@ -6,7 +6,7 @@ from termweave.functions import text as tx
 from termweave.functions.encode import encode
 from termweave.operators import documents, terms
 from termweave.plans import jobs
-from termweave.runtime import cut, spread
+from termweave.runtime import spread
 from termweave.sinks import write_abstracts
 from termweave.streaming import annotate_stream
 from termweave.workload.registry import (
@@ -155,7 +155,7 @@ def stream_documents(spark, sf):
     folder = scratch(spark)
     landed = document_abstracts(spark, sf).drop("doc_id")
     landed.repartition(3, "doi").write.option("maxRecordsPerFile", 100_000).json(f"{folder}/landed")
-    tags = cut(passage_tags(spark, sf))
+    tags = passage_tags(spark, sf)
     stream = annotate_stream(
         spark, f"{folder}/landed", tags, ENCODER, f"{folder}/out", f"{folder}/checkpoint", TEXT_T, TEXT_T
     )

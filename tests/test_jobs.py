@@ -63,10 +63,10 @@ def test_names():
         iri_of("no:x", {})
 
 
-def test_pipeline(spark, fixtures, tmp_path):
+def test_workflow(spark, fixtures, tmp_path):
     spec = AnnotationSpec.from_dict(config(fixtures))
     out = str(tmp_path / "out")
-    scores = jobs.run_pipeline(spark, spec, out).collect()
+    scores = jobs.run_workflow(spark, spec, out).collect()
     assert scores and all(r.similarity >= 0.3 for r in scores)
     assert {r.doi for r in scores} <= {"10.1/a", "10.1/b", "10.1/c", "10.1/e", "--"}
     tags = spark.read.parquet(f"{out}/tag_embeddings")
@@ -79,7 +79,7 @@ def test_pipeline(spark, fixtures, tmp_path):
     new = {"title": "A rose", "abstract": "My rose grows by the gate.", "doi": "10.1/new"}
     (tmp_path / "late.json").write_text(json.dumps(new))
     spec.abstract_files = [str(tmp_path / "late.json")]
-    after = {tuple(r) for r in jobs.run_pipeline(spark, spec, out).collect()}
+    after = {tuple(r) for r in jobs.run_workflow(spark, spec, out).collect()}
     assert before < after and {d for d, _, _ in after - before} == {"10.1/new"}
 
     tag_path, chunk_path = f"{out}/tag_embeddings", f"{out}/chunk_embeddings"
