@@ -57,7 +57,7 @@ def vector_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 def vector_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector as a chunk, ten in a row to a document."""
-    return table(spark, sf, "embeddings").select(
+    return spread(table(spark, sf, "embeddings")).select(
         F.concat(F.lit("10.5555/"), F.expr("vec_id div 10")).alias("doi"),
         F.expr("cast(vec_id % 10 as int)").alias("chunk_idx"),
         "embedding",

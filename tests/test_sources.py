@@ -1,5 +1,5 @@
 import json
-import os
+
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,6 +188,13 @@ def test_scores_files(spark, tmp_path):
     assert {(r.doi, r.tag, r.similarity) for r in objects.collect()} == {("d", "t", 0.5), ("d", "u", 0.25)}
 
 
+def test_tag_files_lose_copies_across_files(spark, tmp_path):
+    row = {"ontology": "o", "term": "t", "rdfs_label": "l", "description": "", "group": "g"}
+    for name, rows in (("a.json", [row, row]), ("b.json", [row, {**row, "term": "u"}])):
+        (tmp_path / name).write_text("\n".join(json.dumps(r) for r in rows))
+    assert sorted(r.term for r in stores.read_tag_json(spark, str(tmp_path)).collect()) == ["t", "u"]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("10.1/a", "http://e/T_1", "1", None)], "doi string, topicalDescriptor string, pmid string, reference_id string")
     sinks.write_annotations(df.coalesce(1), str(tmp_path / "csv"))
