@@ -10,7 +10,7 @@ cut into fragments at the same points for all documents; overlaps are counted pe
 3. Prefixes in the global order give candidates. Every posting list first meets one hub, the member with the fewest
    unshared shingles; links make components. After that only pairs across components are left to test, and a posting
    list whose members are in one component is done: no list is expanded into all its pairs.
-4. Candidates pass length and overlap bounds and are then counted exactly.
+4. Candidates pass bounds by length and by place of the shingle, and are then counted exactly.
 
 Defined results: null text and text without words have an empty set and no links; a text of fewer words than ``k`` is
 one shingle of all its words; a repeated ``doc_id`` is one node whose rows each keep their own ``n_shingles``;
@@ -112,13 +112,16 @@ def _needed(percent: int, n: Column) -> Column:
 
 
 def _bounds(percent: int) -> Column:
-    """Can a pair of sizes n_a, n_b with at most shared_a, shared_b shared shingles reach the threshold?"""
-    most = F.least("shared_a", "shared_b")
-    return (F.lit(100) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - most))
+    """Can a pair whose first common shingle stands at pos_a and pos_b in the global order reach the threshold?
+
+    All before is not common, so the overlap is at most what follows. Other common shingles of a pair may fail this, the first may not.
+    """
+    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    return F.lit(100) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - most)
 
 
 def _ends(posting: DataFrame, end: str, *more: str) -> DataFrame:
-    return posting.select("gram", F.col("doc_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "shared", *more)])
+    return posting.select("gram", F.col("doc_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "pos", *more)])
 
 
 def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -175,9 +178,11 @@ def link_classes(docs: DataFrame, sets: DataFrame, reps: DataFrame, k: int, perc
     )
     # Unshared shingles are the rarest and fill the front of a prefix.
     prefix = F.col("shared") - _needed(percent, F.col("n")) + 1
-    posting = cut(shared.select("doc_id", "n", "shared", F.explode(F.slice("grams.gram", F.lit(1), prefix.cast("int"))).alias("gram")))
+    alone = F.col("n") - F.col("shared")
+    posting = shared.select("doc_id", "n", alone.alias("alone"), F.posexplode(F.slice("grams.gram", F.lit(1), prefix.cast("int"))).alias("at", "gram"))
+    posting = cut(posting.select("gram", "doc_id", "n", "alone", (F.col("alone") + F.col("at")).alias("pos")))
 
-    best = F.min(F.struct((F.col("n") - F.col("shared")).alias("alone"), "doc_id", "n", "shared"))
+    best = F.min(F.struct("alone", "doc_id", "n", "pos"))
     hubs = posting.groupBy("gram").agg(best.alias("hub"), F.count("*").alias("df")).where("df > 1").select("gram", "hub.*")
     star = _ends(hubs, "a").join(_ends(posting, "b"), "gram").where("a <> b").where(_bounds(percent))
     links = cut(_verify(star.select("a", "b", "n_a", "n_b").distinct(), segments, percent))
