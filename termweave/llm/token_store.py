@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -34,8 +35,8 @@ from tokenizers import Tokenizer
 from termweave.llm.common import partitions, pieces
 
 PRECISION = 20
-LANES = 1024
-BLOCK = 1 << 17
+LANES = 2048
+BLOCK = 1 << 18
 CHAPTER = 1 << 21  # ids that share a frequency table; bounds a task's memory, with the longest document
 LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
@@ -143,7 +144,8 @@ class PieceCache:
 
     def _clear(self):
         self.known: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        # Place -1, of pieces that cannot stand alone, is the last one.
+        self.flat, self.starts, self.lengths = np.empty(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -175,17 +177,20 @@ class PieceCache:
         split = [t.replace("\n", " \n").split(" ") for t in texts]
         self._learn(set().union(*[w[1:] for w in split]))
         heads = self._encode([w[0] for w in split])
-        out = []
-        for text, words, head in zip(texts, split, heads):
-            k = np.fromiter(map(self.known.__getitem__, words[1:]), np.int64, len(words) - 1)
-            if len(k) and k.min() < 0:
-                out.append(np.asarray(self._encode([text])[0], np.int32))
-                continue
-            lengths = self.lengths[k]
-            ends = np.cumsum(lengths)
-            at = np.repeat(self.starts[k] - ends + lengths, lengths)
-            at += np.arange(len(at))
-            out.append(np.concatenate([np.asarray(head, np.int32), self.flat[at]]))
+        counts = np.fromiter((len(w) - 1 for w in split), np.int64, len(split))
+        k = np.fromiter(map(self.known.__getitem__, chain.from_iterable(w[1:] for w in split)), np.int64, int(counts.sum()))
+        lengths = self.lengths[k]  # wrong where k is -1; those texts are encoded whole
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[k] - ends + lengths, lengths)
+        at += np.arange(len(at))
+        flat = self.flat[at]
+        word_end = np.cumsum(counts)
+        slow = np.zeros(len(split), bool)
+        slow[np.searchsorted(word_end, np.flatnonzero(k < 0), "right")] = True
+        cut = np.concatenate(([0], ends))[np.concatenate(([0], word_end))]
+        out = [np.concatenate([np.asarray(h, np.int32), flat[a:b]]) for h, a, b in zip(heads, cut.tolist(), cut[1:].tolist())]
+        for i in np.flatnonzero(slow):
+            out[i] = np.asarray(self._encode([texts[i]])[0], np.int32)
         return out
 
 
