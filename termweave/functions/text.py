@@ -48,7 +48,17 @@ def describe(*values: Column) -> Column:
 
 def mentions_obsolete(label: Column, description: Column) -> Column:
     """Case-sensitive in the label, case-insensitive in the description."""
-    return F.contains(label, F.lit("obsolete")) | F.contains(F.lower(description), F.lit("obsolete"))
+    found = F.contains(label, F.lit("obsolete")), F.contains(F.lower(description), F.lit("obsolete"))
+    return F.coalesce(found[0], F.lit(False)) | F.coalesce(found[1], F.lit(False))
+
+
+# Elements that PubMed allows inside titles and abstracts.
+INLINE_MARKUP = r"</?(?:b|i|u|sub|sup|DispFormula|(?:mml:)?(?:math|m[a-z]+))(?:\s[^<>]*)?/?>"
+
+
+def strip_markup(text: Column) -> Column:
+    """The text without inline elements; what stands in them stays."""
+    return F.regexp_replace(text, INLINE_MARKUP, "")
 
 
 def tag_text(label: Column, description: Column) -> Column:

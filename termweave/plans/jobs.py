@@ -172,13 +172,13 @@ def run_workflow(spark: SparkSession, spec: AnnotationSpec, out: str, encoder: E
         sinks.write_embeddings(embed_tags(tags, encoder), tag_path, encoder.name, ["ontology"])
     tags = stores.read_embeddings(spark, tag_path, encoder.name)
     source = abstract_files.read_abstracts(spark, spec.abstract_files, spec.abstract_dirs)
-    chunks = build_chunks(source, encoder)
     if chunk_path in have and not spec.force:
+        # Known documents go before they are split and encoded.
         seen = stores.read_embeddings(spark, chunk_path, encoder.name).select("doi").distinct()
-        new = chunks.join(seen, "doi", "left_anti").withColumn("encoder", F.lit(encoder.name))
+        new = build_chunks(source.join(seen, "doi", "left_anti"), encoder).withColumn("encoder", F.lit(encoder.name))
         new.write.mode("append").partitionBy("encoder").parquet(chunk_path)
     else:
-        sinks.write_embeddings(chunks, chunk_path, encoder.name)
+        sinks.write_embeddings(build_chunks(source, encoder), chunk_path, encoder.name)
     chunks = stores.read_embeddings(spark, chunk_path, encoder.name)
     if tags.isEmpty() or chunks.isEmpty():
         raise FileNotFoundError("no tag embeddings found" if tags.isEmpty() else "no abstract embeddings found")

@@ -22,15 +22,15 @@ from termweave.workload.terms import EX, SQL_NCBI, SQL_TAXA, part_spec, referenc
 
 
 def write_pubmed(spark, sf, path):
-    """Customers as PubMed articles: two abstract parts, several ids, a heading; some lack an abstract or a doi."""
+    """Customers as PubMed articles: two abstract parts, inline markup, several ids, a heading; some lack an abstract or a doi."""
     key, balance = text_of("c_custkey"), F.col("c_acctbal")
     pmid_id = F.struct(key.alias("_VALUE"), F.lit("pubmed").alias("_IdType"))
     doi = F.struct(F.concat(F.lit("10.5555/"), key).alias("_VALUE"), F.lit("doi").alias("_IdType"))
     other = F.struct(F.lit("10.5555/other").alias("_VALUE"), F.lit("doi").alias("_IdType"))
     ids = F.when(balance < 1000, F.array(pmid_id)).otherwise(F.array(pmid_id, doi, other))
     texts = F.array(
-        F.struct(F.lit("Customer & of the").alias("_VALUE"), F.lit("BACKGROUND").alias("_Label")),
-        F.struct(F.concat(F.lit("<"), "c_mktsegment", F.lit("> segment.")).alias("_VALUE"), F.lit("RESULTS").alias("_Label")),
+        F.struct(F.lit("Customer {i}& of{/i} the").alias("_VALUE"), F.lit("BACKGROUND").alias("_Label")),
+        F.struct(F.concat(F.lit("<"), "c_mktsegment", F.lit("> seg{sub}{b}men{/b}{/sub}t.")).alias("_VALUE"), F.lit("RESULTS").alias("_Label")),
     )
     heading = F.struct(
         F.struct(
@@ -38,7 +38,7 @@ def write_pubmed(spark, sf, path):
         ).alias("DescriptorName")
     )
     article = F.struct(
-        F.col("c_name").alias("ArticleTitle"),
+        F.concat(F.lit("{i}"), "c_name", F.lit("{/i}")).alias("ArticleTitle"),
         F.when(balance >= 0, F.struct(texts.alias("AbstractText"))).alias("Abstract"),
     )
     rows = table(spark, sf, "customer").select(
@@ -47,7 +47,18 @@ def write_pubmed(spark, sf, path):
         ).alias("MedlineCitation"),
         F.struct(F.struct(ids.alias("ArticleId")).alias("ArticleIdList")).alias("PubmedData"),
     )
-    rows.write.format("xml").option("rowTag", "PubmedArticle").option("rootTag", "PubmedArticleSet").save(path)
+    # The writer escapes markup; braces stand for inline elements until the text is made.
+    xml = F.to_xml(F.struct("MedlineCitation", "PubmedData"), {"rowTag": "PubmedArticle"})
+    rows.select(F.regexp_replace(xml, r"\{(/?[a-z]+)\}", "<$1>").alias("value")).mapInArrow(_articles, "value string").write.text(path)
+
+
+def _articles(batches):
+    """Every part file is a document of its own."""
+    layout = pa.schema([("value", pa.string())])
+    yield pa.RecordBatch.from_pydict({"value": ["<PubmedArticleSet>"]}, schema=layout)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(batch.columns, schema=layout)
+    yield pa.RecordBatch.from_pydict({"value": ["</PubmedArticleSet>"]}, schema=layout)
 
 
 SQL_ARTICLES = """

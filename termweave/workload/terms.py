@@ -379,12 +379,12 @@ def subclass_ancestors(spark, sf):
 @query(
     "ntriples_round_trip",
     """SELECT doc_id, 'http://example.org/text' AS p, 'literal' AS o_kind, lang, length(text) AS chars, md5(text) AS digest
-    FROM documents WHERE text <> ''""",
+    FROM documents WHERE text IS NOT NULL""",
 )
 def ntriples_round_trip(spark, sf):
     """Whole documents as literals of N-Triples lines: escaped, parsed, unescaped."""
     s = F.concat(F.lit(EX + "doc/"), text_of("doc_id"))
-    docs = spread(table(spark, sf, "documents")).where("text <> ''")
+    docs = spread(table(spark, sf, "documents")).where("text IS NOT NULL")
     lines = graph.ntriples_lines(docs.select(F.inline(F.array(_statement(s, EX + "text", F.col("text"), lang=F.col("lang"))))))
     parsed = rdf.parse_statements(lines)
     return parsed.select(
