@@ -128,7 +128,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``limit`` bytes of text; a longer text is a slice of its own."""
     ends = np.cumsum(pa_lengths(batch.column(column)))
     start = 0
@@ -137,6 +137,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
         stop = max(int(np.searchsorted(ends, base + limit, "right")), start + 1)
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def pa_lengths(texts: pa.Array) -> np.ndarray:

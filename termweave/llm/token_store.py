@@ -20,6 +20,7 @@ write: a lost executor's tasks run again and leave nothing behind.
 from __future__ import annotations
 
 import os
+import threading
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -38,6 +39,8 @@ PRECISION = 20
 LANES = 2048
 BLOCK = 1 << 18
 CHAPTER = 1 << 21  # ids that share a frequency table; bounds a task's memory, with the longest document
+TEXT_BYTES = 2 << 20  # tokenised at a time
+IDLE_SECONDS = 8
 LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 
@@ -195,10 +198,25 @@ class PieceCache:
 
 
 _caches: dict[str, PieceCache] = {}
+_idle: list[threading.Timer] = []
+
+
+def _forget_when_idle() -> None:
+    """Python workers outlive their task and go on to other operators; give the caches' memory back if no task follows."""
+    _busy()
+    _idle.append(threading.Timer(IDLE_SECONDS, _caches.clear))
+    _idle[0].daemon = True
+    _idle[0].start()
+
+
+def _busy() -> None:
+    while _idle:
+        _idle.pop().cancel()
 
 
 def byte_level(name: str) -> Callable[[list[str]], list[np.ndarray]]:
     """Encoder of a byte-level vocabulary file; ``name`` is a path, or the name of a public vocabulary. One per process."""
+    _busy()
     if name not in _caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         path = name if os.path.sep in name else public_tokenizers.path(name)
@@ -259,7 +277,7 @@ def _writer(vocabulary: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _CHAPTERS.types)], schema=_CHAPTERS)
 
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", TEXT_BYTES):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
                     docs.append((doc, np.append(ids, end_id).astype("<u4")))
@@ -269,6 +287,7 @@ def _writer(vocabulary: str, end_id: int):
                         chapter, first, held, docs = chapter + 1, first + held, 0, []
         if docs:
             yield close()
+        _forget_when_idle()
 
     return run
 
