@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WORD, components, pieces, shingle_hashes, small, word_hashes
+from termweave.llm.common import WORD, batch_bytes, components, pieces, shingle_hashes, small, word_hashes
 from termweave.runtime import cut
 
 FRAGMENTS = 8
@@ -157,11 +157,13 @@ def link_classes(docs: DataFrame, sets: DataFrame, reps: DataFrame, k: int, perc
     alone = _unshared(low.select("doc_id", F.explode("grams").alias("gram")))
     spare = F.col("n") - _needed(percent, F.col("n"))
     left = sizes.join(alone, "doc_id", "left").where((F.coalesce("alone", F.lit(0)) <= spare) | (F.col("rows") > 1))
-    left = cut(left.join(reps, "doc_id", "left_semi").select("doc_id"))
+    with batch_bytes(docs.sparkSession):
+        left = cut(left.join(reps, "doc_id", "left_semi").select("doc_id"))
 
     # The whole sets of what is left, and the frequencies among them.
     lists = shingle_lists(docs.join(small(left), "doc_id", "left_semi"), k)
-    lists = cut(lists.groupBy("doc_id").agg(F.max(F.struct("n", "grams")).alias("set")).select("doc_id", "set.*"))
+    with batch_bytes(docs.sparkSession):
+        lists = cut(lists.groupBy("doc_id").agg(F.max(F.struct("n", "grams")).alias("set")).select("doc_id", "set.*"))
     grams = lists.select("doc_id", "n", F.explode("grams").alias("gram"))
     frequent = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     shared = cut(
@@ -206,7 +208,8 @@ def link_classes(docs: DataFrame, sets: DataFrame, reps: DataFrame, k: int, perc
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row; sets link from a Jaccard similarity of ``percent``/100."""
-    sets = cut(shingle_sets(docs, k))
+    with batch_bytes(docs.sparkSession):
+        sets = cut(shingle_sets(docs, k))
     key = ["n", "s1", "s2"]
     filled = sets.where("n > 0 AND doc_id IS NOT NULL")
     reps = filled.groupBy(*key).agg(F.min("doc_id").alias("rep"))
