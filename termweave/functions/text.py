@@ -88,13 +88,18 @@ def doi_iri(doi: Column) -> Column:
     return F.concat(F.lit(DOI_ROOT), encoded)
 
 
-def expand_curie(curie: Column, prefixes: dict[str, str]) -> Column:
-    """``prefix:name`` to a full IRI; null for an unknown prefix; ``<iri>`` and full IRIs pass through."""
+def expand_curie(curie: Column, prefixes: dict[str, str], bound: Column | None = None) -> Column:
+    """``prefix:name`` to a full IRI; null for an unknown prefix; ``<iri>`` and full IRIs pass through.
+
+    ``bound`` is a map of further prefixes, which go first.
+    """
     unquoted = F.regexp_extract(curie, r"^<(.*)>$", 1)
     prefix, name = F.substring_index(curie, ":", 1), F.regexp_replace(curie, r"^[^:]*:", "")
     known = F.lit(None).cast("string")
     for key, iri in sorted(prefixes.items()):
         known = F.when(prefix == key, F.concat(F.lit(iri), name)).otherwise(known)
+    if bound is not None:
+        known = F.coalesce(F.concat(F.try_element_at(bound, prefix), name), known)
     return F.when(unquoted != "", unquoted).when(F.contains(curie, F.lit("://")), curie).otherwise(known)
 
 

@@ -35,8 +35,8 @@ class Block:
     norms: np.ndarray
 
 
-def _blocks(vectors: pa.Array) -> dict[int, Block]:
-    """Usable vectors by width; null, empty, zero and non-finite ones can match nothing and are left out."""
+def _blocks(vectors: pa.Array, zeros: bool = False) -> dict[int, Block]:
+    """Usable vectors by width; null, empty, non-finite and (unless ``zeros``) zero ones can match nothing and are left out."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     lengths = np.asarray(vectors.value_lengths().fill_null(0))
@@ -49,9 +49,9 @@ def _blocks(vectors: pa.Array) -> dict[int, Block]:
         exact = raw.astype(np.float64)
         with np.errstate(over="ignore", invalid="ignore"):
             norms = np.sqrt(np.einsum("ij,ij->i", exact, exact))
-        good = np.isfinite(norms) & (norms > 0)
+        good = np.isfinite(norms) & (zeros | (norms > 0))
         if good.any():
-            unit = (exact[good] / norms[good, None]).astype(np.float32)
+            unit = (exact[good] / np.where(norms > 0, norms, 1)[good, None]).astype(np.float32)
             blocks[width] = Block(at[good], raw[good], unit, norms[good])
     return blocks
 
@@ -141,8 +141,9 @@ def block_join(
     tag_vector: str = "embedding",
     broadcast_bytes: int = BROADCAST_BYTES,
     share_bytes: int = SHARE_BYTES,
+    zeros: bool = False,
 ) -> DataFrame:
-    """Rows ``keep + [tag_key, similarity]`` found by ``kernel`` over all (chunk, tag) pairs."""
+    """Rows ``keep + [tag_key, similarity]`` found by ``kernel`` over all (chunk, tag) pairs; zero vectors only if ``zeros``."""
     keep = [c for c in chunks.columns if c != chunk_vector] if keep is None else list(keep)
     chunks = chunks.select(*keep, F.col(chunk_vector).alias("__vector"))
     tags = tags.select(tag_key, F.col(tag_vector).alias("__vector"))
@@ -154,14 +155,14 @@ def block_join(
     single = isinstance(tags.schema["__vector"].dataType.elementType, T.FloatType)
     vector_bytes = values * (8 if single else 12)  # the given values and the float32 unit vectors
     if vector_bytes + ids <= broadcast_bytes:
-        return _with_broadcast(chunks, tags, kernel, keep, tag_key, schema)
-    return _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, values, share_bytes)
+        return _with_broadcast(chunks, tags, kernel, keep, tag_key, schema, zeros)
+    return _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, values, share_bytes, zeros)
 
 
-def _with_broadcast(chunks, tags, kernel, keep, tag_key, schema) -> DataFrame:
+def _with_broadcast(chunks, tags, kernel, keep, tag_key, schema, zeros) -> DataFrame:
     table = tags.toArrow()
     ids = table[tag_key].combine_chunks()
-    plain = {w: (b.positions, b.raw, b.unit, b.norms) for w, b in _blocks(table["__vector"]).items()}
+    plain = {w: (b.positions, b.raw, b.unit, b.norms) for w, b in _blocks(table["__vector"], zeros).items()}
     shared = chunks.sparkSession.sparkContext.broadcast((ids, plain))
     arrow_schema = to_arrow_schema(schema)
 
@@ -170,12 +171,12 @@ def _with_broadcast(chunks, tags, kernel, keep, tag_key, schema) -> DataFrame:
         right = {w: Block(*parts) for w, parts in plain.items()}
         for batch in batches:
             keys = [batch.column(n) for n in keep]
-            yield from _emit(keys, _blocks(batch.column("__vector")), tag, right, kernel, arrow_schema)
+            yield from _emit(keys, _blocks(batch.column("__vector"), zeros), tag, right, kernel, arrow_schema)
 
     return chunks.mapInArrow(scan, schema)
 
 
-def _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, width_sum, share_bytes) -> DataFrame:
+def _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, width_sum, share_bytes, zeros) -> DataFrame:
     """Grid of (chunk slice, tag share) cells; every chunk meets every share in exactly one cell.
 
     A row's place comes from a hash of its content and of its input partition: a lost task redone gives the same
@@ -232,10 +233,10 @@ def _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, widt
                     continue
                 if parts:
                     table = pa.Table.from_batches(parts)
-                    tag, right, parts = table["__tag"].combine_chunks(), _blocks(table["__vector"]), []
+                    tag, right, parts = table["__tag"].combine_chunks(), _blocks(table["__vector"], zeros), []
                 if right:
                     keys = [run.column(n) for n in keep]
-                    yield from _emit(keys, _blocks(run.column("__vector")), tag, right, kernel, arrow_schema)
+                    yield from _emit(keys, _blocks(run.column("__vector"), zeros), tag, right, kernel, arrow_schema)
 
     return cells.mapInArrow(stream, schema)
 
@@ -261,7 +262,7 @@ def best_similarity(chunks: DataFrame, tags: DataFrame, metric: str = "manhattan
     """``doi, best_similarity``: the single best similarity over all chunks of a document and all tags."""
     if metric not in ("manhattan", "cosine"):
         raise ValueError(f"unknown metric: {metric}")
-    best = block_join(chunks, tags, closest(metric), keep=["doi"], **options)
+    best = block_join(chunks, tags, closest(metric), keep=["doi"], zeros=metric == "manhattan", **options)
     return best.groupBy("doi").agg(F.max("similarity").alias("best_similarity"))
 
 

@@ -42,8 +42,9 @@ def build_owl_tags(spark: SparkSession, spec: AnnotationSpec, multi: str = "agg"
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def build_gbif_tags(spark: SparkSession, spec: TaxonSpec) -> DataFrame:
-    taxa_rows = taxonomy.read_gbif_taxa(spark, os.path.join(spec.work_dir, spec.taxon_file))
+def build_gbif_tags(spark: SparkSession, spec: TaxonSpec, raw: bool = False) -> DataFrame:
+    """Tags of the two-column extract, or of the full dump (``raw``)."""
+    taxa_rows = taxonomy.read_gbif_taxa(spark, os.path.join(spec.work_dir, spec.taxon_file), raw)
     names = taxonomy.read_gbif_vernacular(spark, os.path.join(spec.work_dir, spec.vernacular_file))
     return taxa.gbif_tags(taxa_rows, names, spec.regex, spec.cap)
 

@@ -11,7 +11,7 @@ RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 OWL = "http://www.w3.org/2002/07/owl#"
 RDF_LABEL = RDFS + "label"
 SUBCLASS_OF = RDFS + "subClassOf"
-WELL_KNOWN = {"rdfs": RDFS, "rdf": RDF, "owl": OWL}
+WELL_KNOWN = {"rdfs": RDFS, "rdf": RDF, "owl": OWL, "skos": "http://www.w3.org/2004/02/skos/core#"}
 
 
 @dataclass(frozen=True)

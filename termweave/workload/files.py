@@ -172,13 +172,15 @@ def ncbi_dump_tags(spark, sf):
 
 @query(
     "ncbi_compiled_file",
-    """SELECT c_custkey AS tax_id, c_name AS name, n_name AS parent_tax, 'customer' AS rank, lower(c_mktsegment) AS division
-    FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+    f"""WITH {SQL_TAXA}
+    SELECT substr(t.id, 2)::BIGINT AS tax_id, t.name, coalesce(p.name, '') AS parent_tax,
+           t.rank, lower(t.division) AS division
+    FROM taxa t LEFT JOIN taxa p ON p.id = t.parent""",
 )
 def ncbi_compiled_file(spark, sf):
-    """The compiled table of customers to a file and back; ids are numbers there."""
+    """The whole compiled table to a file and back; ids are numbers there."""
     path = scratch(spark)
-    compiled = taxa.compile_ncbi(*taxonomy_tables(spark, sf)).where("rank = 'customer'")
+    compiled = taxa.compile_ncbi(*taxonomy_tables(spark, sf))
     sinks.write_compiled_ncbi(compiled.withColumn("tax_id", F.substring("tax_id", 2, 20)), path)
     return taxonomy.read_compiled_ncbi(spark, path)
 

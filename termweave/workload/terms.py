@@ -152,15 +152,14 @@ def drop_obsolete(spark, sf):
     r"""SELECT doc_id, md5(regexp_replace(regexp_replace(
       rtrim(text, '.') || ' (AB:' || n_chars || ')() x. ' || rtrim(source || '...', '.') || '.', '\([A-Z]+:\d+\)', '', 'g'),
       '\(\)', '', 'g')) AS digest
-    FROM documents WHERE rtrim(text, '.') <> ''""",
+    FROM documents""",
 )
 def clean_description(spark, sf):
     """Whole documents as property values: trailing dots, joining, inline ids, empty parentheses."""
     docs = table(spark, sf, "documents")
     value = F.concat(F.rtrim("text", F.lit(".")), F.lit(" (AB:"), text_of("n_chars"), F.lit(")() x.."))
     text = tx.describe(value, F.lit(""), F.lit(None).cast("string"), F.concat("source", F.lit("...")))
-    kept = docs.where(F.rtrim("text", F.lit(".")) != "")
-    return kept.select("doc_id", F.md5(tx.strip_obo_ids(F.concat(_lead(F.col("text")), text))).alias("digest"))
+    return docs.select("doc_id", F.md5(tx.strip_obo_ids(F.concat(_lead(value), text))).alias("digest"))
 
 
 def _lead(text):

@@ -88,6 +88,16 @@ def test_best_similarity(spark, data, metric, options):
     assert len(got) == 3
 
 
+def test_zero_vectors_have_a_distance_but_no_angle(spark):
+    chunks = spark.createDataFrame([("z", 0, [0.0, 0.0]), ("a", 0, [3.0, 4.0])], CHUNK)
+    tags = spark.createDataFrame([("t", [1.0, 1.0]), ("o", [0.0, 0.0])], TAG)
+    for options in ({}, {"broadcast_bytes": 0, "share_bytes": 8}):
+        near = {r.doi: r.best_similarity for r in sim.best_similarity(chunks, tags, "manhattan", **options).collect()}
+        assert near == {"z": 0.0, "a": -5.0}
+        angle = {r.doi for r in sim.best_similarity(chunks, tags, "cosine", **options).collect()}
+        assert angle == {"a"}
+
+
 def test_edges_are_strict_and_ordered(spark):
     tags = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0]), ("d", [2.0, 0.0])], TAG)
     rows = {(r.tag_a, r.tag_b) for r in sim.tag_edges(tags, 0.70).collect()}

@@ -234,3 +234,16 @@ def test_ntriples_lines(spark, tmp_path):
         graph.provenance_triples(scores, encoder_name="e", system_name="s", threshold_chunk=0.5, threshold_tag=0.5, method="l1")
     made = graph.provenance_triples(scores, encoder_name="e", system_name="s", threshold_chunk=0.5, threshold_tag=0.5)
     assert made.count() == 11
+
+
+def test_turtle_prefixes_bound_by_their_file(spark, tmp_path):
+    (tmp_path / "a.ttl").write_text("@prefix ex: <http://one/> .\nex:A ex:p ex:B .\nown:A a <http://c> .\n")
+    (tmp_path / "b.ttl").write_text('PREFIX ex: <http://two/>\nex:A <http://p> "x"@en .\n')
+    (tmp_path / "c.ttl").write_text("ex:A ex:p ex:B .\n<http://s> <http://p> <http://o> .\n")
+    rows = rdf.read_turtle_lines(spark, str(tmp_path), {"own": "http://own/"}).collect()
+    assert sorted((r.s, r.p, r.o, r.lang) for r in rows) == [
+        ("http://one/A", "http://one/p", "http://one/B", None),
+        ("http://own/A", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://c", None),
+        ("http://s", "http://p", "http://o", None),
+        ("http://two/A", "http://p", "x", "en"),
+    ]
