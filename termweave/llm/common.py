@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -150,7 +151,15 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator
         stop = max(int(np.searchsorted(ends, base + limit, "right")), start + 1)
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; Python workers outlive their task beside the other processes of an executor."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def pa_lengths(texts: pa.Array) -> np.ndarray:

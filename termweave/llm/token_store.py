@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from termweave.llm.common import partitions, pieces
+from termweave.llm.common import give_back, partitions, pieces
 
 PRECISION = 20
 LANES = 2048
@@ -204,11 +204,16 @@ _idle: list[threading.Timer] = []
 def _forget_when_idle() -> None:
     """Python workers outlive their task and go on to other operators; give the caches' memory back if no task follows."""
     _busy()
-    _idle.append(threading.Timer(IDLE_SECONDS, _caches.clear))
+    _idle.append(threading.Timer(IDLE_SECONDS, _forget))
     _idle[0].daemon = True
     _idle[0].start()
 
 
+def _forget() -> None:
+    _caches.clear()
+    give_back()
+
+
 def _busy() -> None:
     while _idle:
         _idle.pop().cancel()
