@@ -79,6 +79,8 @@ _PATTERNS = (
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)),
     ("phone", re.compile(r"(?!\d{4}-\d\d-\d\d(?!\d)|\d{1,2}[.-]\d{1,2}[.-]\d{4}(?!\d))(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ ]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w|[.-]\d)|(?<![\w.+-])\+\d{8,15}(?!\w)", re.A)),
 )
+# Country codes of one and two digits; all others have three. The digits decide, not the punctuation.
+_COUNTRY = re.compile(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})|")
 _PERSON = re.compile(rf"(?<!\w)({'|'.join(a for group in ADDRESS.values() for a in group)})\.?[ ]({_NAME}(?:[ ]{_NAME}){{0,2}})")
 _PERSON_HINTS = tuple(a + end for group in ADDRESS.values() for a in group for end in (" ", "."))
 _TITLE_GENDER = {a: gender for gender, group in ADDRESS.items() for a in group}
@@ -215,14 +217,16 @@ class Surrogates:
         return self.shaped("ssn", value)
 
     def _phone(self, value: str) -> str:
-        code = re.match(r"\+\d{1,3}(?=[ .(-])|\+1|\+\d\d|", value)[0]
+        code = _COUNTRY.match(canonical("phone", value))[0]
+        country = len(code[1:])
 
         def change(digits: str) -> str:
             # Area code and exchange keep to 2-9 where they did.
-            spans = [(50, 57) if i % 3 == 0 and i < 6 and c >= "2" else (48, 49) if i % 3 == 0 and i < 6 else (48, 57) for i, c in enumerate(digits)]
-            return self.shaped("phone" + code, digits, spans)
+            rest = digits[country:]
+            spans = [(50, 57) if i % 3 == 0 and i < 6 and c >= "2" else (48, 49) if i % 3 == 0 and i < 6 else (48, 57) for i, c in enumerate(rest)]
+            return digits[:country] + self.shaped("phone" + code, rest, spans)
 
-        return code + self._digits("phone", value[len(code) :], change)
+        return self._digits("phone", value, change)
 
     def _given(self, gender: str, name: str) -> str:
         names = NAMES[gender]

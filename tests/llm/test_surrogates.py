@@ -66,3 +66,14 @@ def test_query_rows(spark):
     assert got == sorted(((i, t if t is None else make.replace(t)[0]) for i, t, _ in rows), key=str)
     assert s.clashes(docs, KEY).count() == 0
     assert s.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+def test_phone_notations_agree():
+    from termweave.llm.surrogates import Surrogates, canonical
+
+    s = Surrogates(b"k")
+    for group in (("+353 1 234 5678", "+35312345678", "+353-1-234-5678"), ("+44 20 7946 0958", "+442079460958"), ("+1 (555) 234-5678", "+15552345678")):
+        made = {canonical("phone", s.of("phone", v)) for v in group}
+        assert len(made) == 1
+        assert made != {canonical("phone", group[0])}
+        assert made.pop()[:2] == group[0][:2]
