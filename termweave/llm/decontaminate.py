@@ -1,20 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-1. The test items are cut into runs of ``SEED`` words. How often each run occurs in the corpus is counted over all
-   documents, one pass, pre-aggregated per batch.
-2. Every stretch of ``STRIDE`` runs of an item gives its rarest run as a seed, so each part of an item has one and none of
-   them is a common phrase where a rarer one stands beside it. A passage found in many documents stays findable.
-3. A second pass joins documents to items on the seeds. Around the seeds a window of the document is aligned with the item:
-   local alignment of words, ``MATCH`` for equal words, ``MISMATCH`` for replaced and ``GAP`` for inserted or missing ones.
-   The score over the best possible score (all words equal) is the containment of the item; edited copies lose little.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
+
+1. The test items are cut into runs of ``SEED`` words, and every run is a seed: an edited copy is found by any run that the
+   edits left whole, however common that run is.
+2. One pass joins documents to items on the seeds. Around the seeds a window of the document is looked at. A window with fewer
+   words of the item than the threshold needs cannot reach it and is passed over; common phrases mostly end here, and nothing
+   is lost.
+3. Other windows are aligned with the item: local alignment of words, ``MATCH`` for equal words, ``MISMATCH`` for replaced and
+   ``GAP`` for inserted or missing ones. The score over the best possible score (all words equal) is the containment of the
+   item; edited copies lose little.
 4. A document is contaminated from ``threshold`` on.
 
 Items go to the tasks in shares of at most ``ITEM_WORDS`` words, one pass over the documents per share: what a task holds is
 bounded whatever the size of the benchmark. No text is shuffled.
 
 Defined results: words ignore case of A-Z and white space; items without words, null texts and empty texts match nothing; an
-item shorter than ``SEED`` words is one run of all its words and must stand alone in a text of just these words;
-every row of a repeated ``doc_id`` is judged by itself; ties go to the smaller item_id.
+item shorter than ``SEED`` words is one run of all its words and must stand alone in a text of just these words; a copy without
+a whole run of ``SEED`` words is not looked at; every row of a repeated ``doc_id`` is judged by itself; ties go to the smaller item_id.
 """
 
 from __future__ import annotations
@@ -30,34 +31,27 @@ from termweave.llm.common import WORD, pieces, shingle_hashes, word_count, word_
 from termweave.runtime import cut
 
 SEED = 3
-STRIDE = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 ITEM_WORDS = 2_000_000
 _ALIGN_CELLS = 1 << 22
+_HITS_AT_ONCE = 1 << 20
 
 HITS = "item_id long, score double, word_start long, word_end long"
 
 
 class _Items:
-    """Word hashes of a share of the items, and their runs."""
+    """Word hashes of a share of the items, and their runs as seeds in the order of their hashes."""
 
     def __init__(self, ids: np.ndarray, texts: list[str | None]):
         self.ids = ids
         self.words, self.bounds = word_hashes(pa.array(texts, pa.string()))
-        self.runs, self.run_item = shingle_hashes(self.words, self.bounds, SEED)
-        first = np.searchsorted(self.run_item, np.arange(len(ids)))
-        self.run_at = np.arange(len(self.runs)) - first[self.run_item]
-        self.known = np.unique(self.runs)
-
-    def keep_seeds(self, frequency: dict[int, int]):
-        """The rarest run of each stretch of an item; ties take the earlier."""
-        df = np.array([frequency.get(int(h), 0) for h in self.runs.view(np.int64)], np.int64)
-        order = np.lexsort((self.run_at, df, self.run_at // STRIDE, self.run_item))
-        key = self.run_item[order] * (1 << 40) + self.run_at[order] // STRIDE
-        chosen = order[np.concatenate(([True], key[1:] != key[:-1]))] if len(order) else order
-        chosen = chosen[np.argsort(self.runs[chosen], kind="stable")]
-        self.seed_hash, self.seed_item, self.seed_at = self.runs[chosen], self.run_item[chosen], self.run_at[chosen]
+        runs, item = shingle_hashes(self.words, self.bounds, SEED)
+        at = np.arange(len(runs)) - np.searchsorted(item, np.arange(len(ids)))[item]
+        order = np.argsort(runs, kind="stable")
+        self.seed_hash, self.seed_item, self.seed_at = runs[order], item[order], at[order]
+        self.vocabulary, word = np.unique(self.words, return_inverse=True)
+        self.has = np.unique(np.repeat(np.arange(len(ids)), np.diff(self.bounds)) * len(self.vocabulary) + word)  # (item, word)
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,16 +90,53 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, best_from, best_to
 
 
-def _candidates(items: _Items, words: np.ndarray, bounds: np.ndarray):
-    """(row, item, from, to) of document windows around seeds, near ones of the same row and item merged."""
+def _candidates(items: _Items, words: np.ndarray, bounds: np.ndarray, threshold: float):
+    """(row, item, from, to) of document windows around seeds, near ones of the same row and item merged.
+
+    Windows that cannot reach the threshold are left out. Goes by ranges of items with a bounded number of hits each; an item's
+    windows do not depend on the range.
+    """
     runs, row = shingle_hashes(words, bounds, SEED)
-    at = np.searchsorted(items.seed_hash, runs)
-    hit = np.flatnonzero(items.seed_hash[np.minimum(at, len(items.seed_hash) - 1)] == runs)
-    if not len(hit):
-        return [np.empty(0, np.int64)] * 4
-    low, high = at[hit], np.searchsorted(items.seed_hash, runs[hit], "right")
-    several = high - low
-    seed = np.repeat(low - np.cumsum(several) + several, several) + np.arange(several.sum())
+    low = np.searchsorted(items.seed_hash, runs)
+    hit = np.flatnonzero(items.seed_hash[np.minimum(low, len(items.seed_hash) - 1)] == runs)
+    change = np.bincount(low[hit], minlength=len(items.seed_hash) + 1)
+    change -= np.bincount(np.searchsorted(items.seed_hash, runs[hit], "right"), minlength=len(change))
+    hits = np.bincount(items.seed_item, np.cumsum(change)[:-1], minlength=len(items.ids)).astype(np.int64)
+    part = (np.cumsum(hits) // _HITS_AT_ONCE)[items.seed_item]
+    at = np.minimum(np.searchsorted(items.vocabulary, words), len(items.vocabulary) - 1)
+    word = np.where(items.vocabulary[at] == words, at, -1)
+    found = [np.empty((4, 0), np.int64)]
+    for p in np.unique(part[np.flatnonzero(hits[items.seed_item])]):
+        windows = _windows(items, np.flatnonzero(part == p), runs[hit], hit, row, bounds)
+        found.append(np.stack(windows)[:, _may_reach(items, word, bounds, threshold, *windows)])
+    return np.concatenate(found, axis=1)
+
+
+def _may_reach(items: _Items, word: np.ndarray, bounds: np.ndarray, threshold: float, row, item, begin, end) -> np.ndarray:
+    """Whether a window has as many words of its item as an alignment at the threshold needs."""
+    able = np.zeros(len(row), bool)
+    size = end - begin
+    total = np.cumsum(size)
+    start = 0
+    while start < len(row):
+        stop = max(int(np.searchsorted(total, (total[start - 1] if start else 0) + _HITS_AT_ONCE, "right")), start + 1)
+        part = slice(start, stop)
+        window = np.repeat(np.arange(stop - start), size[part])
+        place = np.arange(len(window)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+        w = word[(bounds[row[part]] + begin[part])[window] + place]
+        key = item[part][window] * len(items.vocabulary) + w
+        same = (w >= 0) & (items.has[np.minimum(np.searchsorted(items.has, key), len(items.has) - 1)] == key)
+        able[part] = np.bincount(window[same], minlength=stop - start) >= threshold * np.diff(items.bounds)[item[part]] - 1e-6
+        start = stop
+    return able
+
+
+def _windows(items: _Items, seeds: np.ndarray, runs: np.ndarray, hit: np.ndarray, row: np.ndarray, bounds: np.ndarray):
+    """(row, item, from, to) around the hits of some of the seeds, without the test of ``_may_reach``."""
+    hashes = items.seed_hash[seeds]
+    low = np.searchsorted(hashes, runs)
+    several = np.searchsorted(hashes, runs, "right") - low
+    seed = seeds[np.repeat(low - np.cumsum(several) + several, several) + np.arange(several.sum())]
     hit = np.repeat(hit, several)
     row_of, item = row[hit], items.seed_item[seed]
     length = np.diff(items.bounds)[item]
@@ -129,9 +160,9 @@ def _candidates(items: _Items, words: np.ndarray, bounds: np.ndarray):
     return [row_of[starts], item[starts], begin[starts], np.maximum.reduceat(end, starts)]
 
 
-def _score(items: _Items, words: np.ndarray, bounds: np.ndarray):
+def _score(items: _Items, words: np.ndarray, bounds: np.ndarray, threshold: float):
     """(row, item, score, from, to) for all candidates."""
-    row, item, begin, end = _candidates(items, words, bounds)
+    row, item, begin, end = _candidates(items, words, bounds, threshold)
     lengths = np.diff(items.bounds)[item]
     score, first, last = np.zeros(len(row)), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
     order = np.argsort(lengths * (1 << 32) + (end - begin), kind="stable")  # alike sizes share an array
@@ -158,24 +189,6 @@ def _score(items: _Items, words: np.ndarray, bounds: np.ndarray):
     return row, item, score, first, last
 
 
-def _count_runs(known: np.ndarray):
-    schema = pa.schema([("run", pa.int64()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known), np.int64)
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                runs, row = shingle_hashes(*word_hashes(batch.column("text")), SEED)
-                at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-                hit = known[at] == runs
-                pairs = np.unique(at[hit] * batch.num_rows + row[hit])  # once per document
-                total += np.bincount(pairs // batch.num_rows, minlength=len(known))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known[found].view(np.int64)), pa.array(total[found])], schema=schema)
-
-    return run
-
-
 def _shares(benchmark: DataFrame) -> Iterator[tuple[_Items, bool]]:
     """The items in shares of bounded size, one at a time, and whether another share follows."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
@@ -190,9 +203,6 @@ def _shares(benchmark: DataFrame) -> Iterator[tuple[_Items, bool]]:
 
 def _for_each_share(docs: DataFrame, benchmark: DataFrame, step) -> DataFrame:
     for items, more in _shares(benchmark):
-        text = docs.select(F.col("text").cast("string").alias("text"))
-        counts = text.mapInArrow(_count_runs(items.known), "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-        items.keep_seeds(dict(counts.collect()))  # at most the runs of the share
         docs = docs.mapInArrow(step(items), docs.schema)
         if more:  # a task holds one share
             docs = cut(docs)
@@ -206,7 +216,7 @@ def _update(threshold: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in pieces(whole, "text"):
-                    row, item, score, first, last = _score(items, *word_hashes(batch.column("text")))
+                    row, item, score, first, last = _score(items, *word_hashes(batch.column("text")), threshold)
                     hits = {n: batch.column(n).to_pylist() for n in ("item_id", "score", "word_start", "word_end")}
                     for r, new in zip(row.tolist(), zip((-score).tolist(), items.ids[item].tolist(), first.tolist(), last.tolist())):
                         old = hits["score"][r]
@@ -226,7 +236,7 @@ def _without(threshold: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in pieces(whole, "text"):
-                    row, _, score, _, _ = _score(items, *word_hashes(batch.column("text")))
+                    row, _, score, _, _ = _score(items, *word_hashes(batch.column("text")), threshold)
                     keep = np.ones(batch.num_rows, bool)
                     keep[row[score >= threshold]] = False
                     yield batch.filter(pa.array(keep))

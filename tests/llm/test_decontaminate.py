@@ -62,3 +62,27 @@ def test_against_alignment_with_every_item(spark, monkeypatch):
         assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in rows if i not in dirty)
     assert d.best_matches(docs, bench.limit(0)).where("item_id IS NOT NULL").count() == 0
     assert d.remove_contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_edited_copies_are_found_by_the_runs_they_kept(spark, monkeypatch):
+    text = lambda i, n: [f"t{i}w{j}" for j in range(n)]
+    edited = lambda i, step: [w if j % step < step - 1 else f"e{j}" for j, w in enumerate(text(i, 20))]
+    # Items 0 and 1: the edited copy is the only trace. Item 2: an exact copy stands in another document. Item 3: the only run
+    # that the copy kept is in every document and every item.
+    items = [(i, text(i, 20)) for i in range(4)]
+    items = [(i, x + ["as", "we", "all", "know"]) if i == 3 else (i, x) for i, x in items] + [(9, ["as", "we", "all", "know"] + text(9, 8))]
+    lost = [w if j % 3 < 2 else "e" for j, w in enumerate(text(3, 20))] + ["as", "we", "all"]
+    rows = [(0, edited(0, 4)), (1, edited(1, 5)), (2, edited(2, 4)), (3, text(2, 20)), (4, lost)]
+    rows = [(i, [f"d{i}"] * 30 + x + ["as", "we", "all", "know"] * 5) for i, x in rows]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    want = {(i, j) for i, x in rows for j, y in items if smith_waterman(y, x) >= d.THRESHOLD * d.MATCH * len(y)}
+    assert want == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 3)}
+    found = d.best_matches(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.item_id is not None} == want
+    assert d.remove_contaminated(docs, bench).count() == 0
+    here = d._Items(np.array([i for i, _ in items]), [" ".join(x) for _, x in items])
+    hashed = d.word_hashes(d.pa.array([" ".join(x) for _, x in rows]))
+    whole = sorted(zip(*(x.tolist() for x in d._score(here, *hashed, d.THRESHOLD))))
+    monkeypatch.setattr(d, "_HITS_AT_ONCE", 7)
+    assert sorted(zip(*(x.tolist() for x in d._score(here, *hashed, d.THRESHOLD)))) == whole
