@@ -2,9 +2,12 @@
 
 The guess cost of a value is the least sum of costs (log10 of guesses) over all ways to cut it into words, dates, repeats,
 sequences, keyboard walks and brute-force characters; a dynamic programme over the positions finds it. A value that people
-choose ("Password2019!", "qwerty12345") is cheap, a generated one is not.
+choose ("Password2019!", "qwerty12345") is cheap, a generated one is not. The cost alone decides: of letters only, of digits
+only or short, every value beside a credential word is weighed. Common English words are cheap too, so that "the password is
+required" gives no span.
 
-Kinds of spans: ``assign``, ``access`` and ``hex`` from the patterns, the whole match each; ``guess`` for further values.
+Kinds of spans: ``assign``, ``access`` and ``hex`` from the patterns, the whole match each; ``guess`` for further values,
+also one that reaches beyond the base spans over it. A scheme ("Authorization: Bearer ...") may stand before the value.
 Offsets are code points, ends exclusive.
 
 Defined results: null text is empty text; an empty text has no spans; a text is scanned whole, whatever its length; equal rows give
@@ -16,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,22 +34,47 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: Credential words that make the value after ``:``, ``=`` or "is" a candidate for the guess cost.
+#: Credential words that make the value after ``:``, ``=`` or "is", and after a scheme if there is one, a candidate for the guess cost.
 CONTEXT = re.compile(
     r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credentials?)"""
-    r"""["']?[\x20\t]{0,3}(?:[:=]{1,2}>?|(?<=\x20)(?:is|ist|est|es)(?=\x20))[\x20\t]{0,3}["'`]?([^\s"'`]{8,})"""
+    r"""["']?[\x20\t]{0,3}(?:[:=]{1,2}>?|(?<=\x20)(?:is|ist|est|es)(?=\x20))[\x20\t]{0,3}["'`]?"""
+    r"""(?:(?ai:bearer|basic|digest|negotiate|token|api[_-]?key)[\x20\t]{1,3}["'`]?)?([^\s"'`]+)"""
 )
 _HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential")
 STRONG = 11.0  # log10 of guesses
 
-# Common password words, most common first.
+# Common password words, most common first, then words and parts of words of plain text.
 WORDS = """password admin welcome login letmein qwerty monkey dragon master secret sunshine princess football baseball shadow
 superman batman trustno iloveyou summer winter spring autumn hello freedom whatever charlie michael jordan thomas daniel
 robert george andrew jessica jennifer ashley nicole computer internet server access system user guest root test demo default
 changeme private public company office manager service support database oracle google apple orange banana cookie cheese
 chocolate flower garden house family friend angel lucky happy love money dollar silver golden diamond tiger lion eagle
 falcon phoenix hunter ranger soccer hockey tennis guitar music summer january february march april june july august
-september october november december monday tuesday wednesday thursday friday saturday sunday pass word key token""".split()
+september october november december monday tuesday wednesday thursday friday saturday sunday pass word key token
+bearer basic digest negotiate authorization authentication credentials required request reset changed change expired invalid
+incorrect correct wrong valid missing empty unknown undefined null none true false string number value values encrypted
+encryption protected protect stored stores generated generator provided provide sent send received receive needed necessary
+important optional mandatory sensitive private secure security strong stronger weak hidden visible available unavailable
+different similar possible impossible unique random simple complex following followed longer shorter usually always never
+probably definitely something anything nothing everything someone anyone everyone another between before after because
+through without within against should would could might please contact enter entered entering confirm confirmed forgotten
+forgot update updated username login account address email website browser network protocol service application program
+development production environment variable parameter function configuration settings option options document documents
+information knowledge understanding example examples sample placeholder redacted removed replace replaced
+recovery recover ingredient ingredients sauce success successful identifier signature certificate instrument instruments
+currency economy language linguistic sequence separator character characters letters digits symbols numeric alphabetic
+minimum maximum length length limit limited limitless accept accepted accepting allow allowed denied granted
+permission permissions authority authorized unauthorized authenticate response client session cookie storage database
+memory hardware software computer machine physical digital electronic government community relationship happiness
+meaning purpose ancient mystery treasure century history hundred thousand million about above across again along also
+around being below both case come data does done during each easy even every find first form from full give given
+good great hard have help here high hold home inside into just keep kept known large last less life like line list
+little long look made make many mean more most much must name near need next note often once only open order other
+over part people place point real right same seen set shared short show side small some such sure take than that
+their them then there these they thing think this those three time together under until used using very want well what when
+where which while whole will with word words work world written year your
+ation ition ment ness able ible ing tion sion ally ance ence ity ful less ous ive ized ised izing ising ated ating ary ory
+inter trans under over anti auto counter multi non pre pro super con com dis mis""".split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
 LONGEST = max(map(len, WORDS))
 LEET = str.maketrans("4@31!05$7", "aaeiiosst")
@@ -147,6 +176,31 @@ def _value(match: re.Match) -> tuple[int, int]:
     return start, end
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int, str]]) -> bool:
+    """Whether the spans together, in the order of their starts, hold all of ``start`` to ``end``."""
+    for a, b, _ in spans:
+        if a <= start < b:
+            start = b
+    return start >= end
+
+
+def _guesses(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Values beside credential words that cost enough and are not wholly in base spans."""
+    found, base, at, i = [], sorted(base), 0, 0
+    while m := CONTEXT.search(text, at):
+        start, end = _value(m)
+        at = m.end()
+        while i < len(base) and base[i][1] <= start:  # values start ever later
+            i += 1
+        if _covered(start, end, base[i : bisect_left(base, (end,))]):
+            continue
+        if guess_cost(text[start:end]) >= STRONG:
+            found.append((start, end, "guess"))
+        else:
+            at = m.start(1)  # a cheap value may hold a credential word itself
+    return found
+
+
 def find_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), by start and then kind."""
     spans = []
@@ -158,15 +212,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
         spans += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     spans += [(*m.span(), "hex") for m in HEX.finditer(text)]
     if hinted:
-        taken = list(spans)
-        for m in CONTEXT.finditer(text):
-            start, end = _value(m)
-            value = text[start:end]
-            if any(a < end and start < b for a, b, _ in taken) or end - start < 8:
-                continue
-            classes = sum(any(map(test, value)) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-            if classes >= 2 and guess_cost(value) >= STRONG:
-                spans.append((start, end, "guess"))
+        spans += _guesses(text, spans)
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -44,6 +44,23 @@ def test_spans():
     assert g.find_spans("Kſecret=abcdefg") == []
 
 
+def test_the_cost_alone_decides():
+    def guessed(text):
+        return [text[a:b] for a, b, kind in g.find_spans(text) if kind == "guess"]
+
+    assert guessed("passphrase: qzvkxjwpbtrmhgfdlcny") == ["qzvkxjwpbtrmhgfdlcny"]
+    assert guessed("pwd: 84930284756610293, pwd: QZVKXJWPBTRM.") == ["84930284756610293", "QZVKXJWPBTRM"]
+    for scheme in ("Bearer", "Basic", "token"):
+        for text in (f"Authorization: {scheme} xK9mQ2vL7pRt", f'"authorization": "{scheme} xK9mQ2vL7pRt"'):
+            assert guessed(text) == ["xK9mQ2vL7pRt"], text
+    assert guessed("auth: pwd: xK9#mQ2$vL7p") == ["xK9#mQ2$vL7p"]
+    text = "password=Tr0ub4dor&3xK9!z rest"
+    assert g.find_spans(text) == [(0, 18, "assign"), (9, 25, "guess")]
+    assert guessed("password=xK9mQ2vL7pRt, token=" + "0f" * 14) == []  # wholly in base spans
+    for text in ("the password is required.", "pwd: ********", "Authorization: Bearer", "the secret is understanding people", "pwd: 1234567890"):
+        assert guessed(text) == [], text
+
+
 def test_query_rows(spark):
     rng = random.Random(2)
     rows = [(i, "".join(rng.choice("token=:api_key 0af9 AKIAZ\"'") for _ in range(400))) for i in range(60)]
