@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query
 def op1_url_models(spark: SparkSession, sf: str) -> DataFrame:
-    return url_models.judge(table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    return url_models.judge(table(spark, sf, "pages"), whole=True).select("page_id", "host", "path", "rule", "verdict")
 
 
 @query

@@ -6,10 +6,13 @@ one by Witten-Bell weights, ``(count(context, char) + kinds(context) * shorter)
 on an even distribution. A URL's score is the difference of the two log-likelihoods per character. The threshold is calibrated on
 URLs held out from counting: it lies where a normal fit to the scores of both classes errs equally often.
 
-URLs are reduced to host and path with every digit run as one ``0``; equal ones are counted and scored once, with their number as weight, so
-a host with a third of all pages costs no more than its distinct paths. Every page is judged.
+With ``whole``, as in the registered query, the models read the URL as it stands: scheme, host, path, query, fragment, digits.
+Without it they read host and path with every digit run as one ``0``, so that URLs that differ only elsewhere share a verdict.
+Equal texts are counted and scored once, with their number as weight, so a page repeated many times costs no more than once.
+Every page is judged.
 
-Defined results: a null URL, or one without ``://``, has empty host and path, and is judged by the models like any other;
+Defined results: a null URL is an empty one; one without ``://`` has empty host and path, so no rule fits it, and with ``whole``
+the models read all of it;
 without accepted or without rejected URLs everything else is allowed; repeated rows are judged alike; extra columns are not read.
 """
 
@@ -24,7 +27,7 @@ from termweave.runtime import cut
 
 ORDER = 4
 ALPHABET = 256  # of the even distribution below order 0
-HELD_OUT = 8  # one reduced URL in so many is for calibration
+HELD_OUT = 8  # one text of the models in so many is for calibration
 BEGIN, STOP = "\x02", "\x03"
 
 Rule = tuple[str, str]  # host/path prefix, allow or block
@@ -101,13 +104,16 @@ def _log_ratio(counts: DataFrame) -> DataFrame:
     return table.select("gram", (F.log("p_accepted") - F.log("p_rejected")).alias("ratio"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``(page_id, host, path, rule, verdict, score)`` of every row; ``score`` is the models', null where they are not asked."""
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, whole: bool = False) -> DataFrame:
+    """``(page_id, host, path, rule, verdict, score)`` of every row; ``score`` is the models', null where they are not asked.
+
+    The models read the whole URL with ``whole``, else its host and path without the values of digits.
+    """
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
     rule, ruled = longest_rule(F.col("host"), F.col("path"), rules)
-    reduced = F.regexp_replace(F.concat("host", "path"), "[0-9]+", "0")
-    rows = rows.withColumns({"rule": rule, "ruled": ruled, "reduced": reduced})
+    reduced = F.col("url") if whole else F.regexp_replace(F.concat("host", "path"), "[0-9]+", "0")
+    rows = rows.withColumns({"rule": rule, "ruled": ruled, "reduced": reduced}).drop("url")
     key = ["reduced", "ruled"]
     urls = cut(rows.groupBy(*key).agg(F.count("*").alias("n")).withColumn("id", F.xxhash64("reduced")))
     held = F.pmod(F.xxhash64(F.lit("calibration"), "reduced"), F.lit(HELD_OUT)) == 0

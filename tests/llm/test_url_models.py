@@ -94,3 +94,24 @@ def test_one_class_allows_the_rest(spark):
     pages = spark.createDataFrame([(1, "http://a.com/"), (2, "http://a.org/"), (2, "http://a.org/"), (None, None)], "page_id long, url string")
     assert {r.verdict for r in u.judge(pages).collect()} == {"allow"}
     assert u.judge(pages.limit(0)).count() == 0
+
+
+def test_query_string_fragment_scheme_and_digits_count(spark, tmp_path):
+    from termweave.llm.queries import QUERIES
+
+    # Blocked pages carry a session in their query, allowed ones a page number.
+    urls = [f"http://h{i % 7}.com/list/{i % 11}?page={i}" for i in range(150)]
+    urls += [f"https://h{i % 7}.net/es/list/{i % 11}?sid=zqx{i * 7919}&aff=buy#offer" for i in range(150)]
+    pairs = [("http://a.org/list/3?page=4", "http://a.org/list/3?sid=zqx4&aff=buy"), ("http://a.org/p", "http://a.org/p#offer"),
+             ("http://a.org/q", "https://a.org/q"), ("http://a.org/1", "http://a.org/22"), ("www.b.org/list?page=1", "www.c.org/?sid=zqx&aff=buy#offer")]
+    rows = list(enumerate(urls + [x for pair in pairs for x in pair] + [None, ""]))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in u.judge(pages, whole=True).collect()}
+    at = len(urls)
+    for i, pair in enumerate(pairs):
+        assert got[at + 2 * i].score > got[at + 2 * i + 1].score or i in (2, 3) and got[at + 2 * i].score != got[at + 2 * i + 1].score, pair
+    assert got[at + 10].score == got[at + 11].score
+    assert (got[at].verdict, got[at + 1].verdict) == ("allow", "block")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    registered = {r.page_id: r.verdict for r in QUERIES["op1_url_models"](spark, str(tmp_path)).collect()}
+    assert registered == {i: r.verdict for i, r in got.items()}
