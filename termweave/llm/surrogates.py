@@ -10,7 +10,8 @@ format (a Feistel network on the value's number, walked past values outside the
 Types: e-mail addresses, IPv4 and IPv6 addresses (private stays private), payment card numbers (Luhn remainder and first digit
 stay), IBANs (country and check digits valid), social security numbers, phone numbers (country code and punctuation stay),
 persons after a form of address (gender and script stay; later mentions of the name in the same text follow).
-Letters are replaced within their script and case, digits by digits, all else stays.
+Letters are replaced within their script and case, digits by digits, all else stays. An IPv6 address may be compressed or end in
+an IPv4 one; its surrogate is written in full. An IPv4-mapped one is the IPv4 address and stays mapped.
 
 ``clashes`` checks a corpus: it lists surrogates that stand for two originals and originals with two surrogates.
 It is empty unless code or key differ between workers. Each text is checked as well when it is written.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "iban", "ssn", "phone", "person")
 
-# Letters that replace one another, by script and case.
+# Letters that replace one another, by script and case. ``_others`` has those of all other letters.
 ALPHABETS = (
     "0-9",
     "a-z",
@@ -71,9 +73,28 @@ NAMES = {
 _GENDER = {name: gender for gender, names in NAMES.items() for name in names}
 
 _NAME = r"[^\W\d_a-zß-öø-ÿα-ωа-я][^\W\d_]+(?:-[^\W\d_]+)?"
+_OCTET, _GROUP = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)", "[0-9a-fA-F]{1,4}"
+_IP4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
+
+
+def _ip6_forms() -> Iterator[str]:
+    """Eight groups, or n groups, ``::`` and at most 7 - n others; an IPv4 address may stand for the last two."""
+    yield f"(?:{_GROUP}:){{6}}{_IP4}"
+    yield f"(?:{_GROUP}:){{7}}{_GROUP}"
+    for n in range(7, -1, -1):
+        left = f"{_GROUP}(?::{_GROUP}){{{n - 1}}}::" if n else "::"
+        if n <= 5:
+            yield f"{left}(?:{_GROUP}:){{0,{5 - n}}}{_IP4}"
+        if n < 7:
+            yield f"{left}{_GROUP}(?::{_GROUP}){{0,{6 - n}}}"
+        if n:
+            yield left
+
+
+_IP6 = "|".join(rf"(?:{form})(?!\w|:[\w:]|\.\d)" for form in _ip6_forms())
 _PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}(?![\w-])")),
-    ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)|(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])", re.A)),
+    ("ip", re.compile(rf"(?<![\w.]){_IP4}(?![\w]|\.\d)|(?:(?<![\w:])|(?<=[G-Zg-z]:))(?:{_IP6})", re.A)),
     ("card", re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w]|[.-]\d)", re.A)),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A)),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)),
@@ -130,30 +151,49 @@ class Permutation:
         return y
 
 
-def _alphabet(c: str) -> tuple[int, int] | None:
+Alphabet = tuple[int, int] | str  # code points from and to, or letters
+
+
+@lru_cache(maxsize=10_000)
+def _alphabet(c: str) -> Alphabet | None:
     for low, high in _RANGES:
         if low <= ord(c) <= high:
             return low, high
-    return None
+    return _others(ord(c) >> 8, *_script(c)) if c.isalpha() else None
+
+
+def _script(c: str) -> tuple[str, str]:
+    return unicodedata.name(c, "").split(" ")[0], unicodedata.category(c)
 
 
-def _numbered(text: str, spans: list[tuple[int, int] | None]) -> tuple[int, int]:
+@lru_cache(maxsize=10_000)
+def _others(page: int, script: str, category: str) -> str | None:
+    """Letters outside ``ALPHABETS`` with the script and case, out of 256 code points; none if a letter stands alone there."""
+    letters = map(chr, range(page << 8, (page + 1) << 8))
+    found = [c for c in letters if c.isalpha() and _script(c) == (script, category) and not any(a <= ord(c) <= b for a, b in _RANGES)]
+    return "".join(found) if len(found) > 1 else None
+
+
+def _size(span: Alphabet) -> int:
+    return len(span) if isinstance(span, str) else span[1] - span[0] + 1
+
+
+def _numbered(text: str, spans: list[Alphabet | None]) -> tuple[int, int]:
     """Number of a text among all texts of its shape, and how many there are."""
     x, n = 0, 1
     for c, span in zip(text, spans):
         if span:
-            size = span[1] - span[0] + 1
-            x, n = x * size + ord(c) - span[0], n * size
+            size = _size(span)
+            x, n = x * size + (span.index(c) if isinstance(span, str) else ord(c) - span[0]), n * size
     return x, n
 
 
-def _spelled(text: str, spans: list[tuple[int, int] | None], x: int) -> str:
+def _spelled(text: str, spans: list[Alphabet | None], x: int) -> str:
     out = list(text)
     for i in reversed(range(len(text))):
-        if spans[i]:
-            low, high = spans[i]
-            x, rest = divmod(x, high - low + 1)
-            out[i] = chr(low + rest)
+        if span := spans[i]:
+            x, rest = divmod(x, _size(span))
+            out[i] = span[rest] if isinstance(span, str) else chr(span[0] + rest)
     return "".join(out)
 
 
@@ -166,7 +206,7 @@ class Surrogates:
         """Another text of the same shape; characters without an alphabet are part of the shape."""
         spans = spans or [_alphabet(c) for c in text]
         x, n = _numbered(text, spans)
-        label = f"{label}|{''.join(c if not s else chr(s[0]) for c, s in zip(text, spans))}"
+        label = f"{label}|{''.join(c if not s else s[0] if isinstance(s, str) else chr(s[0]) for c, s in zip(text, spans))}"
         if fits is None:
             return _spelled(text, spans, self.permute.step(label, x, n))
         return _spelled(text, spans, self.permute.walk(label, x, n, lambda y: fits(_spelled(text, spans, y))))
@@ -180,20 +220,17 @@ class Surrogates:
         return f"{self.shaped('local', local)}@{self.shaped('host', host.lower())}.{top}"
 
     def _ip(self, value: str) -> str:
-        if ":" in value:
-            groups = [int(g, 16) for g in value.split(":")]
-            x = self.permute.step("ip6", int("".join(f"{g:04x}" for g in groups), 16), 1 << 128)
+        bits, x = _address(value)
+        if bits == 128:
+            x = self.permute.walk("ip6", x, 1 << 128, lambda y: y >> 32 != 0xFFFF)
             return ":".join(f"{x >> shift & 0xFFFF:x}" for shift in range(112, -1, -16))
-        x = 0
-        for part in value.split("."):
-            x = x * 256 + int(part)
         block = _private_block(x)
         if block:
             low, size = block
             x = low + self.permute.step(f"ip{low}", x - low, size)
         else:
             x = self.permute.walk("ip", x, 1 << 32, lambda y: not _private_block(y))
-        return ".".join(str(x >> shift & 255) for shift in (24, 16, 8, 0))
+        return "::ffff:" * (":" in value) + ".".join(str(x >> shift & 255) for shift in (24, 16, 8, 0))
 
     def _digits(self, label: str, value: str, change: Callable[[str], str]) -> str:
         digits = iter(change("".join(c for c in value if c.isdigit())))
@@ -264,9 +301,33 @@ def canonical(kind: str, value: str) -> str:
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         return f"{local}@{domain.lower()}"
+    if kind == "ip":
+        return "{}:{:x}".format(*_address(value))
     return value.replace(" ", "") if kind == "iban" else value
 
 
+def _address(value: str) -> tuple[int, int]:
+    """Bits and number of an IP address; an IPv4-mapped one is the IPv4 address."""
+
+    def number(dotted: str) -> int:
+        return int.from_bytes(bytes(int(part) for part in dotted.split(".")), "big")
+
+    def groups(part: str) -> list[int]:
+        out = []
+        for g in part.split(":") if part else []:
+            out += [number(g) >> 16, number(g) & 0xFFFF] if "." in g else [int(g, 16)]
+        return out
+
+    if ":" not in value:
+        return 32, number(value)
+    head, _, tail = value.partition("::")
+    left, right = groups(head), groups(tail)
+    x = 0
+    for g in (*left, *[0] * (8 - len(left) - len(right)), *right):
+        x = x << 16 | g
+    return (32, x & 0xFFFFFFFF) if x >> 32 == 0xFFFF else (128, x)
+
+
 def _private_block(x: int) -> tuple[int, int] | None:
     for low, size in ((10 << 24, 1 << 24), (127 << 24, 1 << 24), ((172 << 24) + (16 << 16), 1 << 20), ((192 << 24) + (168 << 16), 1 << 16)):
         if low <= x < low + size:
@@ -297,7 +358,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     spans: list[tuple[int, int, str]] = []
     digits = any(d in text for d in "0123456789")
     for kind, pattern in _PATTERNS:
-        if kind == "email" and "@" not in text or kind != "email" and not digits:
+        if kind == "email" and "@" not in text or kind != "email" and not digits and not (kind == "ip" and ":" in text):
             continue
         for m in pattern.finditer(text):
             if kind == "iban" and _mod97(m[0].replace(" ", "")[4:] + m[0][:4]) != 1:

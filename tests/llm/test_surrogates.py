@@ -77,3 +77,41 @@ def test_phone_notations_agree():
         assert len(made) == 1
         assert made != {canonical("phone", group[0])}
         assert made.pop()[:2] == group[0][:2]
+
+
+def test_notations_of_one_address_have_one_surrogate():
+    from termweave.llm import surrogates as module
+
+    made = module.Surrogates(b"k")
+    for group in (
+        ("2001:DB8:0:0:0:0:0:1", "2001:db8:0:0:0:0:0:1", "2001:db8::1", "2001:0db8::0:1"), ("10.0.0.1", "10.0.0.01"),
+        ("::1", "0:0:0:0:0:0:0:1"), ("fe80::", "fe80:0::0"), ("dead::beef", "DEAD:0::beef"), ("64:ff9b::10.0.0.1", "64:ff9b::a00:1"),
+    ):
+        text = "from " + " to ".join(group) + ": done."
+        assert [text[a:b] for a, b, kind in module.find(text) if kind == "ip"] == list(group)
+        new, counts = made.replace(text)
+        parts = new[len("from ") : -len(": done.")].split(" to ")
+        assert len(set(parts)) == 1 and parts[0] not in group and counts["ip"] == len(group)
+    new, counts = made.replace("10.0.0.1 and ::ffff:10.0.0.1 and [::FFFF:a00:1]:80")
+    plain, mapped, other = new.split(" and ")
+    assert mapped == "::ffff:" + plain and other == f"[::ffff:{plain}]:80" and plain.startswith("10.") and counts["ip"] == 3
+    for text in ("std::vector", "a :: b", "12:30:45", "1:2:3:4:5:6:7:8:9", "::"):
+        assert not [s for s in module.find(text) if s[2] == "ip"], text
+
+
+def test_letters_of_any_script_are_replaced():
+    import unicodedata
+
+    from termweave.llm import surrogates as module
+
+    made = module.Surrogates(b"k")
+    for name in ("Šěžů", "Ābčďē", "Արամ", "გიორგი", "สมชาย", "Άννα"):
+        new, counts = made.replace(f"Dr. {name} came")
+        new = new[len("Dr. ") : -len(" came")]
+        assert counts["person"] == 1 and len(new) == len(name) and new != name
+        for a, b in zip(name, new):
+            assert unicodedata.category(a) == unicodedata.category(b)
+            assert unicodedata.name(a).split(" ")[0] == unicodedata.name(b).split(" ")[0]
+    assert all(made.name(x) != x for x in ("Šěžů", "Ārčē"))
+    words = [a + b for a in "աբգ" for b in "աբգ"]
+    assert len({made.name(w) for w in words}) == len(words)
