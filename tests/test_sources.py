@@ -247,3 +247,19 @@ def test_turtle_prefixes_bound_by_their_file(spark, tmp_path):
         ("http://s", "http://p", "http://o", None),
         ("http://two/A", "http://p", "x", "en"),
     ]
+
+
+def test_layout_is_decided_by_most_lines_of_a_file(spark, tmp_path):
+    from termweave.schemas import ABSTRACTS
+    from termweave.sources.abstracts import read_json_records
+
+    files = {
+        "first_key_on_opening_line": '{"doi": "a1",\n "title": "t"}\n',
+        "array_beside_first_object": '[{"doi": "b1", "title": "t"},\n{"doi": "b2", "title": "t"}]\n',
+        "lines_with_a_lone_bracket": '{"doi": "c1"}\n{\n{"doi": "c2"}\n{"doi": "c3"}\n',
+        "pretty": '[\n  {\n    "doi": "d1"\n  },\n  {\n    "doi": "d2"\n  }\n]\n',
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    found = read_json_records(spark, [str(tmp_path)], ABSTRACTS).select("doi").collect()
+    assert sorted(r.doi for r in found if r.doi) == ["a1", "b1", "b2", "c1", "c2", "c3", "d1", "d2"]
