@@ -119,3 +119,16 @@ copies AS (
 mixed AS (SELECT r, sum(size) OVER (ORDER BY finish, r, k) AS total FROM copies),
 times AS (SELECT r, count(*) AS n FROM mixed WHERE total <= (SELECT sum(n) FROM s) GROUP BY r)
 SELECT doc_id, size, source_size, target, (size * coalesce(n, 0))::BIGINT AS taken FROM q LEFT JOIN times USING (r)"""
+
+ORACLES["op12_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+shared AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT k.*, s.key IS NOT NULL AS gone FROM keyed k LEFT JOIN shared s USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""

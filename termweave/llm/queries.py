@@ -14,6 +14,7 @@ from termweave.llm import (
     fair_mix,
     guess_cost,
     host_rules,
+    line_dedup,
     ngram_join,
     surrogates,
     token_store,
@@ -136,3 +137,9 @@ def op9_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_fair_mix(spark: SparkSession, sf: str) -> DataFrame:
     return fair_mix.taken(table(spark, sf, "documents"))
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = line_dedup.drop_shared_lines(table(spark, sf, "documents"), min_documents=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
