@@ -132,3 +132,43 @@ marked AS (SELECT k.*, s.key IS NOT NULL AS gone FROM keyed k LEFT JOIN shared s
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+ORACLES["op13_prefix_trie"] = r"""
+WITH RECURSIVE bits(n, v, k) AS (
+  SELECT i, i::BIGINT, 0 FROM range(256) r(i)
+  UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY n) AS t FROM bits WHERE k = 8),
+own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+             lambda crc, byte: xor(crc >> 8, t[(xor(crc, byte) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM own), tab),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, o.i, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.i <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.i, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.i > c.h),
+seqs AS (
+  SELECT c.conv_id, coalesce(s, []) AS s
+  FROM convs c LEFT JOIN (
+    SELECT conv_id, list({'r': role, 't': text} ORDER BY part, i) AS s FROM rebuilt GROUP BY conv_id) USING (conv_id)),
+members AS (SELECT conv_id, len(s) AS n, unnest(range(0, len(s) + 1)) AS depth, s FROM seqs),
+keyed AS (SELECT conv_id, n, depth, s[1:depth] AS p FROM members),
+nodes AS (
+  SELECT depth, p, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256,
+         CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * strlen(p[-1].t) END AS saved
+  FROM keyed GROUP BY depth, p),
+named AS (SELECT *, row_number() OVER () AS id FROM nodes),
+linked AS (SELECT a.*, b.id AS parent, b.conv_id AS parent_conv_id FROM named a LEFT JOIN named b ON b.depth = a.depth - 1 AND b.p = a.p[1:a.depth - 1]),
+kids AS (SELECT parent AS id, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY parent),
+flat AS (SELECT l.id, l.parent, l.saved, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN kids k USING (id)),
+up(top, id) AS (SELECT id, id FROM flat UNION ALL SELECT f.parent, u.id FROM up u JOIN flat f ON f.id = u.top WHERE f.parent IS NOT NULL),
+sums AS (
+  SELECT u.top AS id, count(*) FILTER (f.n_children = 0) AS n_leaves, sum(f.saved)::BIGINT AS saved_tokens
+  FROM up u JOIN flat f ON f.id = u.id GROUP BY u.top)
+SELECT l.conv_id, l.depth, l.parent_conv_id, l.n_convs, f.n_children, s.n_leaves, s.saved_tokens, l.ends_sha256
+FROM linked l JOIN flat f USING (id) JOIN sums s USING (id)"""

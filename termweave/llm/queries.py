@@ -16,6 +16,7 @@ from termweave.llm import (
     host_rules,
     line_dedup,
     ngram_join,
+    prefix_trie,
     surrogates,
     token_store,
     url_models,
@@ -143,3 +144,13 @@ def op10_fair_mix(spark: SparkSession, sf: str) -> DataFrame:
 def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     kept = line_dedup.drop_shared_lines(table(spark, sf, "documents"), min_documents=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf, "conversations"))
+    nodes, ends = prefix_trie.trie(*prefix_trie.with_shared_openings(turns))
+    digests = prefix_trie.end_digests(ends)
+    counts = ["depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
+    digest = F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")
+    return nodes.join(digests, "node", "left").select("conv_id", *[F.col(c).cast("long").alias(c) for c in counts], digest)
