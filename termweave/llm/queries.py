@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termweave.llm import (
     chat_windows,
+    cross_alignment,
     decontaminate,
     factorization,
     fair_mix,
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 __all__ = ["ORACLES", "QUERIES"]
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 END_ID = 2
 GOOD = 0.7
 KEY = b"surrogates of the registered query"
@@ -140,6 +142,15 @@ def op10_fair_mix(spark: SparkSession, sf: str) -> DataFrame:
     return fair_mix.taken(table(spark, sf, "documents"))
 
 
+@query
+def op11_cross_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    aligned = cross_alignment.alignments(table(spark, sf, "documents"), VOCABULARY, PIECE_MODEL)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    numbers = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links"]
+    stored = cross_alignment.store(aligned.select(*numbers, digest, "pairs", "times"), scratch_path(spark, "alignments"))
+    return cross_alignment.with_link_counts(stored).drop("row")
+
+
 @query
 def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     kept = line_dedup.drop_shared_lines(table(spark, sf, "documents"), min_documents=10, min_chars=1)

@@ -19,28 +19,23 @@ write: a lost executor's tasks run again and leave nothing behind.
 
 from __future__ import annotations
 
-import os
-import threading
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from termweave.llm.common import give_back, partitions, pieces
+from termweave.llm.common import partitions, pieces
+from termweave.llm.word_pieces import PieceCache, byte_level_coder, cached, forget_when_idle
 
 PRECISION = 20
 LANES = 2048
 BLOCK = 1 << 18
 CHAPTER = 1 << 21  # ids that share a frequency table; bounds a task's memory, with the longest document
 TEXT_BYTES = 2 << 20  # tokenised at a time
-IDLE_SECONDS = 8
 LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 
@@ -129,104 +124,10 @@ def decode_block(data: bytes, n: int, f: np.ndarray, start: np.ndarray, slot_of:
 
 # Tokenising.
 
-
-class PieceCache:
-    """Ids of texts by way of pieces that start at single blanks or line ends before other characters.
-
-    There the byte-level pattern always begins a new token, so the pieces can be encoded alone and their ids joined;
-    each distinct piece is encoded once. A text with runs of white space is encoded whole.
-    """
-
-    def __init__(self, tokenizer: Tokenizer, limit: int = 1_000_000):
-        self.tokenizer, self.limit = tokenizer, limit
-        vocabulary = tokenizer.get_vocab()
-        self.opens = {mark: np.zeros(max(vocabulary.values()) + 1, bool) for mark in " \n"}
-        for mark, shown in ((" ", "\u0120"), ("\n", "\u010a")):  # how the byte-level alphabet shows them
-            self.opens[mark][[i for token, i in vocabulary.items() if token.startswith(shown)]] = True
-        self._clear()
-
-    def _clear(self):
-        self.known: dict[str, int] = {}
-        # Place -1, of pieces that cannot stand alone, is the last one.
-        self.flat, self.starts, self.lengths = np.empty(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]):
-        """Encode new pieces, many in a text. A piece begins where an id's token begins with its blank or line end."""
-        new = words.difference(self.known)
-        lines = [w for w in new if w[:1] == "\n"]
-        groups = ("\n", [w for w in lines if not w[1:2].isspace() and len(w) > 1]), (" ", [w for w in new if w and not w[0].isspace()])
-        self.known.update(dict.fromkeys(new, -1))
-        for mark, group in groups:
-            if not group:
-                continue
-            glue = "" if mark == "\n" else " "
-            joined = [glue + glue.join(group[i : i + 4000]) for i in range(0, len(group), 4000)]
-            ids = np.concatenate([np.asarray(x, np.int32) for x in self._encode(joined)])
-            begins = np.flatnonzero(self.opens[mark][ids])
-            if len(begins) != len(group):
-                raise ValueError("this vocabulary does not begin a token at each blank and line end")
-            base, n = len(self.flat), len(self.starts)
-            self.flat = np.concatenate([self.flat, ids])
-            self.starts = np.concatenate([self.starts, base + begins])
-            self.lengths = np.concatenate([self.lengths, np.diff(np.append(begins, len(ids)))])
-            self.known.update(zip(group, range(n, n + len(group))))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.limit:
-            self._clear()
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        self._learn(set().union(*[w[1:] for w in split]))
-        heads = self._encode([w[0] for w in split])
-        counts = np.fromiter((len(w) - 1 for w in split), np.int64, len(split))
-        k = np.fromiter(map(self.known.__getitem__, chain.from_iterable(w[1:] for w in split)), np.int64, int(counts.sum()))
-        lengths = self.lengths[k]  # wrong where k is -1; those texts are encoded whole
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[k] - ends + lengths, lengths)
-        at += np.arange(len(at))
-        flat = self.flat[at]
-        word_end = np.cumsum(counts)
-        slow = np.zeros(len(split), bool)
-        slow[np.searchsorted(word_end, np.flatnonzero(k < 0), "right")] = True
-        cut = np.concatenate(([0], ends))[np.concatenate(([0], word_end))]
-        out = [np.concatenate([np.asarray(h, np.int32), flat[a:b]]) for h, a, b in zip(heads, cut.tolist(), cut[1:].tolist())]
-        for i in np.flatnonzero(slow):
-            out[i] = np.asarray(self._encode([texts[i]])[0], np.int32)
-        return out
-
-
-_caches: dict[str, PieceCache] = {}
-_idle: list[threading.Timer] = []
-
-
-def _forget_when_idle() -> None:
-    """Python workers outlive their task and go on to other operators; give the caches' memory back if no task follows."""
-    _busy()
-    _idle.append(threading.Timer(IDLE_SECONDS, _forget))
-    _idle[0].daemon = True
-    _idle[0].start()
-
-
-def _forget() -> None:
-    _caches.clear()
-    give_back()
-
-
-def _busy() -> None:
-    while _idle:
-        _idle.pop().cancel()
-
-
 def byte_level(name: str) -> Callable[[list[str]], list[np.ndarray]]:
     """Encoder of a byte-level vocabulary file; ``name`` is a path, or the name of a public vocabulary. One per process."""
-    _busy()
-    if name not in _caches:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        path = name if os.path.sep in name else public_tokenizers.path(name)
-        _caches[name] = PieceCache(Tokenizer.from_file(path))
-    return _caches[name].encode
+    cache = cached(("token store", name), lambda: PieceCache([byte_level_coder(name)]))
+    return lambda texts: cache.encode(texts)[0]
 
 
 # Writing and reading.
@@ -292,7 +193,7 @@ def _writer(vocabulary: str, end_id: int):
                         chapter, first, held, docs = chapter + 1, first + held, 0, []
         if docs:
             yield close()
-        _forget_when_idle()
+        forget_when_idle()
 
     return run
 
