@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -22,6 +22,24 @@ WORD = rf"[^{SPACE}]+"
 BROADCAST_IDS = 2_000_000
 
 
+def remembered(limit: int = 10_000):
+    """Cache of a function's results, given up when full. Unlike those of the standard library it travels to workers by value."""
+
+    def wrap(fn: Callable) -> Callable:
+        known: dict = {}
+
+        def asked(*args):
+            if args not in known:
+                if len(known) >= limit:
+                    known.clear()
+                known[args] = fn(*args)
+            return known[args]
+
+        return asked
+
+    return wrap
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors can reach."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

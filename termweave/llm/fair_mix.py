@@ -11,7 +11,7 @@ Running sums go over ranges of the global order (``running_total``), so a source
 need no task of their own.
 
 Defined results: null texts have size 0, and documents of size 0 are never taken; the null source comes last; sources without words have
-target 0; ties are settled by id, so reruns agree; a repeated row is a document of its own.
+target 0; ties are settled by id and a hash of the text, so reruns agree; a repeated row is a document of its own.
 """
 
 from __future__ import annotations
@@ -62,17 +62,24 @@ def queue(docs: DataFrame, seed: int = 0, weight=cyclic_weights, share: float =
     text = F.col("text").cast("string")
     size = word_count(text)
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    slim = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key")
+    # Words are counted once; ranges are sampled from the slim copy.
+    slim = cut(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.col("source").cast("string").alias("source"),
+            size.alias("size"),
+            key.alias("key"),
+            *_text_hashes(),
+        )
     )
-    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size")]
+    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size"), F.col("t1"), F.col("t2")]
     placed = cut(running_total(slim.withColumn("one", F.lit(1).cast("long")), order, {"upto": "size", "row": "one"}))
     targets = source_targets(placed, weight, share)
     starts = placed.groupBy("source").agg(F.min(F.col("upto") - F.col("size")).alias("start"))
     targets = targets.alias("t").join(starts.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")))
     targets = cut(targets.select(F.col("t.source").alias("__source"), "source_size", "target", "start"))
     rows = placed.join(targets, F.col("source").eqNullSafe(F.col("__source")))
-    rows = cut(rows.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("upto") - F.col("start")).alias("upto")))
+    rows = cut(rows.select("row", "doc_id", "source", "size", "t1", "t2", "source_size", "target", (F.col("upto") - F.col("start")).alias("upto")))
 
     budget = share * (targets.agg(F.sum("source_size")).first()[0] or 0)
     runs = F.least(F.ceil(F.col("target") / F.col("source_size")), F.lit(MAX_REPEATS)).cast("int")
@@ -98,27 +105,34 @@ def taken(docs: DataFrame, seed: int = 0) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The documents of the mix with all their columns, a repeated one once per repeat.
 
-    Rows alike in id, source and size stand for each other: as many rows as the mix takes of them, of the least text.
+    Rows alike in id, source and text stand for each other: as many rows as the mix takes of them, copies of one of them.
     """
     rows, chosen = queue(docs, seed)
-    alike = ["doc_id", "__source", "size"]
+    alike = ["doc_id", "__source", "t1", "t2"]
     times = rows.join(chosen.groupBy("row").agg(F.count("*").alias("times")), "row", "left")
     per = times.withColumn("__source", _source_key("source")).groupBy(*alike)
     per = per.agg(F.count("*").alias("__rows"), F.sum(F.coalesce("times", F.lit(0))).cast("int").alias("__times"))
-    per = cut(per.where("__times > 0").toDF("__doc_id", "__source", "__size", "__rows", "__times"))
+    per = cut(per.where("__times > 0").toDF("__doc_id", "__source", "__t1", "__t2", "__rows", "__times"))
 
     columns = docs.columns
     same = (
         F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id"))
         & (_source_key("source") == F.col("__source"))
-        & (word_count(F.col("text").cast("string")) == F.col("__size"))
+        & (_text_hashes()[0] == F.col("__t1"))
+        & (_text_hashes()[1] == F.col("__t2"))
     )
-    found = docs.join(small(per), same)  # rows of five numbers
+    found = docs.join(small(per), same)  # rows of six numbers
     several = found.where("__rows > 1")
-    several = several.groupBy("__doc_id", "__source", "__size", "__times").agg(F.min_by(F.struct(*columns), "text").alias("row"))
+    several = several.groupBy("__doc_id", "__source", "__t1", "__t2", "__times").agg(F.first(F.struct(*columns)).alias("row"))
     once = found.where("__rows = 1").select(*columns, "__times").union(several.select("row.*", "__times"))
     return once.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*columns)
 
 
+def _text_hashes() -> list[Column]:
+    """128 bits of the text."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def _source_key(source: str) -> Column:
     return F.xxhash64(F.col(source).cast("string"), F.col(source).isNull())

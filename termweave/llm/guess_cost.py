@@ -21,12 +21,13 @@ import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.llm.common import remembered
+
 KINDS = ("assign", "access", "hex", "guess")
 
 # The patterns of the base spans, matched leftmost and without overlap per kind.
@@ -88,7 +89,7 @@ YEAR = re.compile(r"(?:19|20)\d\d")
 PIECE = 0.4  # what one more piece adds
 
 
-@cache
+@remembered()
 def _neighbours() -> frozenset[tuple[str, str]]:
     """Pairs of keys beside each other on a keyboard whose rows are shifted by half a key."""
     place = {c: (x + row / 2, row) for row, keys in enumerate(KEY_ROWS) for x, c in enumerate(keys)}
@@ -124,17 +125,15 @@ def pieces_ending(value: str, runs: dict[str, list[int]], end: int) -> Iterator[
             yield start, PIECE + 4.6 + 0.3 * (not value[start:end].isdigit()), "date"
     if end >= 4 and YEAR.fullmatch(value, end - 4, end):
         yield end - 4, PIECE + 2.1, "date"
-    for kind, starts in runs.items():
-        start = starts[end - 1]
+    for kind in ("repeat", "sequence", "walk"):
+        start = runs[kind][end - 1]
         n = end - start
         if kind == "repeat" and n >= 3:
             yield start, PIECE + char_cost(value[start]) + math.log10(n), kind
         elif kind == "sequence" and n >= 3:
             yield start, PIECE + char_cost(value[start]) + 0.3 + math.log10(n), kind
         elif kind == "walk" and n >= 3:
-            turns = sum(
-                (ord(value[i + 1]) - ord(value[i])) * (ord(value[i]) - ord(value[i - 1])) < 0 for i in range(start + 1, end - 1)
-            )
+            turns = runs["turns"][end - 1] - runs["turns"][start + 1]
             yield start, PIECE + math.log10(47 * 6) + 0.5 * turns + math.log10(n), kind
     for period in range(2, min(12, end // 2) + 1):  # a block and its repetitions
         start = end - 2 * period
@@ -143,7 +142,10 @@ def pieces_ending(value: str, runs: dict[str, list[int]], end: int) -> Iterator[
 
 
 def run_starts(value: str) -> dict[str, list[int]]:
-    """For every place, where the longest repeat, sequence and keyboard walk that covers it and the place before starts."""
+    """For every place, where the longest repeat, sequence and keyboard walk that covers it and the place before starts.
+
+    ``turns`` counts the places before it at which the characters change from rising to falling or back.
+    """
     near = _neighbours()
     low = value.lower()
     out: dict[str, list[int]] = {"repeat": [], "sequence": [], "walk": []}
@@ -158,6 +160,11 @@ def run_starts(value: str) -> dict[str, list[int]]:
         else:
             out["sequence"].append(i)
         step = now
+    turns = [0] * len(value)
+    for i in range(2, len(value)):
+        a, b, c = map(ord, value[i - 2 : i + 1])
+        turns[i] = turns[i - 1] + ((c - b) * (b - a) < 0)
+    out["turns"] = turns
     return out
 
 

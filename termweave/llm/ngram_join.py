@@ -12,8 +12,10 @@ cut into fragments at the same points for all documents; overlaps are counted pe
    list whose members are in one component is done: no list is expanded into all its pairs.
 4. Candidates pass bounds by length and by place of the shingle, and are then counted exactly.
 
+Everything is keyed by node: a ``doc_id``, or a number of its own for each of the different sets that rows of one repeated ``doc_id`` have.
+
 Defined results: null text and text without words have an empty set and no links; a text of fewer words than ``k`` is
-one shingle of all its words; a repeated ``doc_id`` is one node whose rows each keep their own ``n_shingles``;
+one shingle of all its words; a repeated ``doc_id`` joins the components of all its rows, which each keep their own ``n_shingles`` and links;
 rows with a null id link with nothing and have a null component. Other columns, whatever their names, are not read.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WORD, batch_bytes, components, pieces, shingle_hashes, small, word_hashes
+from termweave.llm.common import WORD, batch_bytes, components, pieces, running_total, shingle_hashes, small, word_hashes
 from termweave.runtime import cut
 
 FRAGMENTS = 8
@@ -48,7 +50,10 @@ def _sets_of(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.
     return h, row, np.bincount(row, minlength=batch.num_rows)
 
 
-def _signatures(k: int):
+def _signatures(k: int, more: tuple[str, ...] = ()):
+    """Rows (doc_id, n, s1, s2) and the columns named in ``more``."""
+    schema = pa.schema([*_SETS, *[(c, pa.int64()) for c in more]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
@@ -59,7 +64,7 @@ def _signatures(k: int):
                     total = np.zeros(len(h) + 1, np.uint64)
                     np.cumsum(part, out=total[1:])
                     sums.append(pa.array(np.diff(total[start]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *sums], schema=_SETS)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *sums, *[batch.column(c) for c in more]], schema=schema)
 
     return run
 
@@ -139,11 +144,6 @@ def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _with_component(posting: DataFrame, labels: DataFrame) -> DataFrame:
-    labels = labels.select(F.col("node").alias("doc_id"), "component")
-    return posting.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-
 def link_classes(docs: DataFrame, sets: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` between class representatives; they join just those that are linked directly or through others.
 
@@ -206,34 +206,95 @@ def link_classes(docs: DataFrame, sets: DataFrame, reps: DataFrame, k: int, perc
     return links.union(_verify(cross.distinct(), segments, percent))
 
 
+def _numbered_sets(sets: DataFrame) -> DataFrame | None:
+    """``(doc_id, n, s1, s2, node)`` of the ids whose rows have different sets; none if there are no such ids."""
+    key = ["n", "s1", "s2"]
+    filled = sets.where("n > 0 AND doc_id IS NOT NULL")
+    several = filled.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high")).where("low < high")
+    several = cut(several.select("doc_id"))
+    rows = several.count()
+    if not rows:
+        return None
+    distinct = filled.join(small(several, rows), "doc_id", "left_semi").select("doc_id", *key).distinct()
+    ranked = cut(running_total(distinct.withColumn("one", F.lit(1).cast("long")), [F.col(c) for c in ("doc_id", *key)], {"place": "one"}))
+    low, high, count = (*sets.agg(F.min("doc_id"), F.max("doc_id")).first(), ranked.count())
+    # Numbers that no document has: after the largest id, or before the smallest.
+    node = F.lit(high) + F.col("place") if high + count < 1 << 63 else F.lit(low) - F.col("place")
+    return cut(ranked.select("doc_id", *key, node.alias("node")))
+
+
+def _with_nodes(docs: DataFrame, numbered: DataFrame | None, k: int) -> DataFrame:
+    """``docs`` with ``__node``, one for all rows of equal id and set."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    if numbered is None:
+        return docs.withColumn("__node", doc_id)
+    # The sets of just these rows once more, by a hash of their text.
+    hashes = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+    some = docs.select(doc_id.alias("doc_id"), text.alias("text"), *hashes).join(small(numbered.select("doc_id").distinct()), "doc_id", "left_semi")
+    signed = some.mapInArrow(_signatures(k, ("t1", "t2")), "doc_id long, n long, s1 long, s2 long, t1 long, t2 long")
+    with batch_bytes(docs.sparkSession):
+        found = cut(signed.join(numbered, ["doc_id", "n", "s1", "s2"]).select(F.col("doc_id").alias("__id"), "t1", "t2", "node").distinct())
+    found = found.select("__id", F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("node").alias("__node"))
+    same = (doc_id == F.col("__id")) & (F.xxhash64(text) == F.col("__t1")) & (F.xxhash64(F.lit(1), text) == F.col("__t2"))
+    joined = docs.join(small(found), same, "left")
+    return joined.withColumn("__node", F.coalesce("__node", doc_id)).drop("__id", "__t1", "__t2")
+
+
+def _node_components(docs: DataFrame, sets: DataFrame, numbered: DataFrame | None, k: int, percent: int, joined_ids: bool) -> DataFrame:
+    """Stored ``(doc_id, n, node, component)`` of every row; components are of nodes, ``joined_ids`` links those of one id."""
+    key = ["n", "s1", "s2"]
+    if numbered is None:
+        sets = sets.withColumn("node", F.col("doc_id"))
+    else:
+        marked = numbered.select(F.col("doc_id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in key], "node")
+        same = [F.col("doc_id") == F.col("__id"), *[F.col(c) == F.col(f"__{c}") for c in key]]
+        sets = cut(sets.join(small(marked), same, "left").select("doc_id", *key, F.coalesce("node", "doc_id").alias("node")))
+    nodes = sets.select(F.col("node").alias("doc_id"), *key)
+    reps = nodes.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    rows = cut(sets.join(reps, key, "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "node"))))
+    by_node = _with_nodes(docs, numbered, k).select(F.col("__node").alias("doc_id"), "text")
+    links = link_classes(by_node, nodes, reps.select(F.col("rep").alias("doc_id")).distinct(), k, percent)
+    if joined_ids:
+        ids = rows.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+        twice = rows.join(ids.where("low < high"), "doc_id").where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+        links = links.union(twice)
+    labels = components(links).select(F.col("node").alias("rep"), "component")
+    return cut(rows.join(labels, "rep", "left").select("doc_id", "n", "node", F.coalesce("component", "rep").alias("component")))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row; sets link from a Jaccard similarity of ``percent``/100."""
     with batch_bytes(docs.sparkSession):
         sets = cut(shingle_sets(docs, k))
-    key = ["n", "s1", "s2"]
-    filled = sets.where("n > 0 AND doc_id IS NOT NULL")
-    reps = filled.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    rows = cut(sets.join(reps, key, "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))))
-    ids = rows.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-    twice = rows.join(ids.where("low < high"), "doc_id").where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    links = link_classes(docs, sets, reps.select(F.col("rep").alias("doc_id")).distinct(), k, percent)
-    labels = components(links.union(twice)).select(F.col("node").alias("rep"), "component")
-    return rows.join(labels, "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
-    )
+    numbered = _numbered_sets(sets)
+    found = _node_components(docs, sets, numbered, k, percent, joined_ids=True)
+    if numbered is None:
+        return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    # Numbers of nodes are not ids: a component's smallest id is looked up.
+    least = found.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component, of its smallest ``doc_id``; rows without an id or without words stay."""
-    found = cut(jaccard_components(docs, k, percent).where("n_shingles > 0 AND doc_id IS NOT NULL"))
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
-    key = F.col("doc_id").cast("long")
-    docs = docs.join(small(gone), key == F.col("__id"), "left_anti")
-    again = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("__id")))
+    """``docs`` with one row of each component, of its smallest node, which is the smallest ``doc_id`` unless rows of one id differ.
+
+    A repeated id links nothing here: rows stand for themselves, and different texts under one id stay. Rows without an id or without
+    words stay, too.
+    """
+    with batch_bytes(docs.sparkSession):
+        sets = cut(shingle_sets(docs, k))
+    numbered = _numbered_sets(sets)
+    found = _node_components(docs, sets, numbered, k, percent, joined_ids=False).where("n > 0 AND doc_id IS NOT NULL")
+    gone = cut(found.where("node <> component").select(F.col("node").alias("__gone")).distinct())
+    again = cut(found.where("node = component").groupBy(F.col("node").alias("__again")).agg(F.count("*").alias("rows")).where("rows > 1").select("__again"))
+    placed = _with_nodes(docs, numbered, k).withColumn("__node", F.when(F.coalesce(F.col("text").rlike(WORD), F.lit(False)), F.col("__node")))
+    kept = placed.join(small(gone), F.col("__node") == F.col("__gone"), "left_anti")
     rows = again.count()
     if not rows:
-        return docs
-    again, worded = small(again, rows), F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    first = docs.where(worded).join(again, key == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    rest = docs.where(worded).join(again, key == F.col("__id"), "left_anti")
-    return first.unionByName(rest).unionByName(docs.where(~worded))
+        return kept.select(*docs.columns)
+    # Rows of equal id and set: the least text stays.
+    again = small(again, rows)
+    once = kept.join(again, F.col("__node") == F.col("__again"), "left_anti").select(*docs.columns)
+    first = kept.join(again, F.col("__node") == F.col("__again"), "left_semi")
+    first = first.groupBy("__node").agg(F.min_by(F.struct(*docs.columns), "text").alias("row")).select("row.*")
+    return once.unionByName(first)

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.llm.common import remembered
+
 KINDS = ("email", "ip", "card", "iban", "ssn", "phone", "person")
 
 # Letters that replace one another, by script and case. ``_others`` has those of all other letters.
@@ -154,7 +156,7 @@ class Permutation:
 Alphabet = tuple[int, int] | str  # code points from and to, or letters
 
 
-@lru_cache(maxsize=10_000)
+@remembered()
 def _alphabet(c: str) -> Alphabet | None:
     for low, high in _RANGES:
         if low <= ord(c) <= high:
@@ -166,7 +168,7 @@ def _script(c: str) -> tuple[str, str]:
     return unicodedata.name(c, "").split(" ")[0], unicodedata.category(c)
 
 
-@lru_cache(maxsize=10_000)
+@remembered()
 def _others(page: int, script: str, category: str) -> str | None:
     """Letters outside ``ALPHABETS`` with the script and case, out of 256 code points; none if a letter stands alone there."""
     letters = map(chr, range(page << 8, (page + 1) << 8))

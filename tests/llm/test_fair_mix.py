@@ -88,3 +88,20 @@ def test_empty(spark):
     got = m.taken(frame(spark, [(1, None, None), (2, "", "a")])).collect()
     assert sorted((r.doc_id, r.target, r.taken) for r in got) == [(1, 0.0, 0), (2, 0.0, 0)]
     assert m.mix(frame(spark, [(1, None, None)])).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rows = [(None, f"text number {i} here", "a") for i in range(5)] + [(3, f"other {i}", "b") for i in range(4)] + [(3, "other 0", "b")]
+    docs = frame(spark, rows)
+    taken = Counter()
+    for r in m.taken(docs).collect():
+        taken[r.doc_id] += r.taken
+    made = Counter((r.doc_id, r.text) for r in m.mix(docs).collect())
+    total = Counter()
+    for (doc, text), n in made.items():
+        total[doc] += n * size(text)
+    assert total == +taken
+    # Nobody stands for another text: no text comes more often than its rows may repeat.
+    wanted = Counter((i, t) for i, t, _ in rows)
+    assert set(made) <= set(wanted) and all(n <= 3 * wanted[k] for k, n in made.items())
+    assert {n for (i, _), n in made.items() if i is None} == {1}  # its target is below its size

@@ -94,3 +94,37 @@ def test_a_chain_of_edits_is_one_component(spark):
     got = found(spark, rows)
     assert got == brute(rows, 4, 85)
     assert {c for _, _, c in got} == {0}
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a + " longer still"), (5, b), (7, b), (9, b + " one"), (5, a + " longer still"), (11, c), (2**62, c + " x y")]
+    got = {(i, n): comp for i, n, comp in found(spark, rows)}
+    assert {i: comp for (i, _), comp in got.items()} == {5: 5, 7: 5, 9: 5, 11: 11, 2**62: 11}
+    kept = keep_one_per_component(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, a + " longer still"), (7, b), (11, c)])
+    other = [(5, a), (5, c), (2**63 - 1, b), (-(2**63) + 9, "x y z")]  # no room after the largest id
+    assert sorted((r.doc_id, r.text) for r in keep_one_per_component(frame(spark, other)).collect()) == sorted(other)
+
+
+def test_repeated_ids_against_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [(i % 23 if rng.random() < 0.5 else i, t) for i, t in corpus(3, 60)]
+    sets = brute(list(enumerate(t for _, t in rows)), 4, 85)  # by row
+    label = {i: c for i, _, c in sets}
+    joined = {}
+    for (doc, _), (i, n, _) in zip(rows, sets):
+        if n:
+            joined.setdefault(doc, []).append(i)
+    changed = True
+    while changed:  # rows of one id are joined
+        changed = False
+        for members in list(joined.values()) + [[i for i in label if label[i] == c] for c in set(label.values())]:
+            low = min(label[i] for i in members)
+            for i in members:
+                if label[i] != low:
+                    label[i], changed = low, True
+    least = {}
+    for (doc, _), (i, _, _) in zip(rows, sets):
+        least[label[i]] = min(doc, least.get(label[i], doc))
+    assert found(spark, rows) == sorted((doc, n, least[label[i]] if n else doc) for (doc, _), (i, n, _) in zip(rows, sets))
