@@ -14,8 +14,9 @@ from termweave.operators import annotations, closure, documents, evaluate, graph
 from termweave.operators.similarity import score_tags, similarity_join, tag_edges
 from termweave.operators.suppress import suppress_similar_tags
 from termweave.runtime import cut
+from termweave.schemas import TRIPLES
 from termweave.sources import abstracts as abstract_files
-from termweave.sources import rdf, stores, taxonomy
+from termweave.sources import rdf, stores, taxonomy, turtle
 from termweave.spec import SUBCLASS_OF, AnnotationSpec, OntologySpec, TaxonSpec, iri_of, split_path
 
 
@@ -31,7 +32,7 @@ def read_ontology(spark: SparkSession, spec: OntologySpec) -> DataFrame:
     if spec.format in ("nt", "ntriples"):
         return rdf.read_ntriples(spark, spec.path)
     if spec.format in ("ttl", "turtle"):
-        return rdf.read_turtle_lines(spark, spec.path, spec.prefixes)
+        return turtle.read_turtle(spark, spec.path, spec.prefixes, spec.base or "")
     wanted = [spec.label, *spec.properties, *[split_path(p).predicate for p in spec.constraints]]
     return rdf.read_owl(spark, spec.path, [iri_of(p, spec.prefixes) for p in wanted], spec.base)
 
@@ -123,12 +124,19 @@ def subclass_ancestors(triples: DataFrame, prefix: str | None = None) -> DataFra
     return closure.ancestors(edges.select(F.col("s").alias("child"), F.col("o").alias("parent")), prefix)
 
 
+def reference_triples(spark: SparkSession, paths, prefixes: dict[str, str]) -> DataFrame:
+    """Triples of reference files. Some end every statement by its line, with any mark; what is no Turtle is read like that."""
+    found = cut(turtle.turtle_statements(spark, paths, prefixes))
+    lines = found.where("reason IS NOT NULL").select(F.explode(F.split("statement", "\n")).alias("value"))
+    return found.where("reason IS NULL").select(*TRIPLES.fieldNames()).unionByName(rdf.parse_statements(lines, prefixes))
+
+
 def export_pubmed(spark: SparkSession, xml_paths, reference_paths, prefixes: dict[str, str]) -> DataFrame:
     """PubMed articles that have a reference id: ``title, abstract, doi, pmid, reference_id``."""
     articles = documents.articles_to_abstracts(abstract_files.read_pubmed_xml(spark, xml_paths))
     usable = documents.usable_articles(articles, require_doi=False).drop("descriptor")
     identifier = "http://purl.org/dc/terms/identifier"
-    triples = terms.match(rdf.read_turtle_lines(spark, reference_paths, prefixes), p=identifier)
+    triples = terms.match(reference_triples(spark, reference_paths, prefixes), p=identifier)
     linked = documents.link_references(usable, documents.doi_references(triples))
     return linked.select("title", "abstract", "doi", "pmid", "reference_id")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from termweave import sinks
 from termweave.operators import documents, taxa
 from termweave.plans import jobs
-from termweave.sources import abstracts, rdf, stores, taxonomy
+from termweave.sources import abstracts, rdf, rdfxml, stores, taxonomy, turtle
 from termweave.spec import OWL, RDF, RDFS, AnnotationSpec, TaxonSpec
 from termweave.workload.registry import (
     ENCODER,
@@ -150,6 +150,111 @@ def owl_triples(spark, sf):
     return rdf.read_owl(spark, path).select("s", F.substring_index("p", "#", -1).alias("p"), "o", "o_kind", "lang")
 
 
+def framed(head, tail):
+    """Every part file is a document of its own."""
+    layout = pa.schema([("value", pa.string())])
+
+    def run(batches):
+        yield pa.RecordBatch.from_pydict({"value": [head]}, schema=layout)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, schema=layout)
+        yield pa.RecordBatch.from_pydict({"value": [tail]}, schema=layout)
+
+    return run
+
+
+def write_concepts(spark, sf, folder):
+    """Parts as concepts of two bases: entities, literals in attributes, a node inside a property; every seventh has an unknown entity."""
+    key = text_of("p_partkey")
+    concept = F.concat(
+        F.lit('<skos:Concept rdf:about="#P_'), key, F.lit('" skos:notation="'), key, F.lit('"><!-- <p> -->\n<skos:prefLabel>'), F.col("p_name"),
+        F.lit(" &amp; &co;\n"), F.when(F.col("p_partkey") % 7 == 0, "&nope;").otherwise(""), F.lit("</skos:prefLabel><skos:broader\n><t:"),
+        F.lit("Type rdf:about='&ex;type/"), F.col("p_type"), F.lit("'/></skos:broader></skos:Concept>"),
+    )
+    for i in range(2):
+        head = (
+            f'<?xml version="1.0"?>\n<!DOCTYPE rdf:RDF [ <!ENTITY co "Base > {i}">\n<!ENTITY ex "{EX}"> ]>\n<rdf:RDF xmlns:rdf="{RDF}"'
+            f' xmlns:skos="http://www.w3.org/2004/02/skos/core#"\n xmlns:t="&ex;kinds{i}#" xml:base="http://example.org/base{i}" xml:lang="en">'
+        )
+        rows = table(spark, sf, "part").where(F.col("p_partkey") % 2 == i).select(concept.alias("value"))
+        rows.mapInArrow(framed(head, "</rdf:RDF>"), "value string").write.text(f"{folder}/{i}")
+
+
+@query(
+    "owl_elements",
+    f"""WITH p AS (SELECT *, 'http://example.org/base' || p_partkey % 2 || '#P_' || p_partkey AS s FROM part WHERE p_partkey % 7 <> 0)
+    SELECT s, unnest(['type', 'notation', 'prefLabel', 'broader']) AS p,
+           unnest(['http://www.w3.org/2004/02/skos/core#Concept', p_partkey::VARCHAR,
+                   p_name || ' & Base > ' || p_partkey % 2 || chr(10), '{EX}type/' || p_type]) AS o,
+           unnest(['iri', 'literal', 'literal', 'iri']) AS o_kind, unnest([NULL, 'en', 'en', NULL]) AS lang FROM p
+    UNION ALL SELECT '{EX}type/' || p_type, 'type', '{EX}kinds' || p_partkey % 2 || '#Type', 'iri', NULL FROM p""",
+)
+def owl_elements(spark, sf):
+    """All triples of RDF/XML files with tables of symbols of their own."""
+    path = scratch(spark)
+    write_concepts(spark, sf, path)
+    triples = rdfxml.read_rdfxml(spark, [f"{path}/0", f"{path}/1"])
+    return triples.select("s", F.substring_index("p", "#", -1).alias("p"), "o", "o_kind", "lang")
+
+
+@query(
+    "owl_rejects",
+    """SELECT 'P_' || p_partkey AS node, 'undefined entity' AS reason FROM part WHERE p_partkey % 7 = 0""",
+)
+def owl_rejects(spark, sf):
+    """The elements that could not be read."""
+    path = scratch(spark)
+    write_concepts(spark, sf, path)
+    bad = rdfxml.rdfxml_elements(spark, [f"{path}/0", f"{path}/1"]).where("reason IS NOT NULL")
+    return bad.select(F.regexp_extract("element", "#(P_\\d+)", 1).alias("node"), F.substring_index("reason", ":", 1).alias("reason"))
+
+
+def write_turtle(spark, sf, path):
+    """Documents as statements over several lines; every eleventh uses a prefix that nobody binds."""
+    key = text_of("doc_id")
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    good = F.concat(
+        F.lit("d:"), key, F.lit(" a ex:Text , <#document> ; # a comment. \"open\n  ex:chars "), F.length("text").cast("string"),
+        F.lit(';\n  ex:body """'), text, F.lit('"""@x-prose ;\n  ex:origin [ ex:name "'), F.coalesce("source", F.lit("")), F.lit('" ] .'),
+    )
+    bad = F.concat(F.lit("d:"), key, F.lit(' nope:p "x" .'))
+    rows = table(spark, sf, "documents").where("text IS NOT NULL").select(F.when(F.col("doc_id") % 11 == 0, bad).otherwise(good).alias("value"))
+    head = f"@prefix d: <{EX}doc/> .\nPREFIX ex: <{EX}>\n@base <{EX}base> ."
+    rows.mapInArrow(framed(head, "# end"), "value string").write.text(path)
+
+
+@query(
+    "turtle_statements",
+    f"""WITH d AS (SELECT * FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 0)
+    SELECT '{EX}doc/' || doc_id AS s, unnest(['type', 'type', 'chars', 'body']) AS p,
+           unnest(['{EX}Text', '{EX}base#document', length(text)::VARCHAR, text]) AS o, unnest(['iri', 'iri', 'literal', 'literal']) AS o_kind,
+           unnest([NULL, NULL, NULL, 'x-prose']) AS lang, unnest([NULL, NULL, 'integer', NULL]) AS datatype FROM d
+    UNION ALL SELECT '{EX}doc/' || doc_id, 'name', coalesce(source, ''), 'literal', NULL, NULL FROM d""",
+)
+def turtle_statements(spark, sf):
+    """Documents to Turtle and back; the blank node between a document and its origin is joined away."""
+    path = scratch(spark)
+    write_turtle(spark, sf, path)
+    triples = turtle.read_turtle(spark, path)
+    owner = triples.where("o_kind = 'bnode'").select(F.col("o").alias("s"), F.col("s").alias("owner"))
+    named = triples.where("o_kind <> 'bnode'").join(owner, "s", "left").withColumn("s", F.coalesce("owner", "s"))
+    local = F.regexp_extract("p", "[^/#]*$", 0)
+    return named.select("s", local.alias("p"), "o", "o_kind", "lang", F.substring_index("datatype", "#", -1).alias("datatype"))
+
+
+@query(
+    "turtle_rejects",
+    """SELECT 'd:' || doc_id || ' nope:p "x" .' AS statement, 'prefix ''nope'' is not bound' AS reason
+    FROM documents WHERE text IS NOT NULL AND doc_id % 11 = 0""",
+)
+def turtle_rejects(spark, sf):
+    """The statements that could not be read."""
+    path = scratch(spark)
+    write_turtle(spark, sf, path)
+    bad = turtle.turtle_statements(spark, path).where("reason IS NOT NULL")
+    return bad.select(F.trim("statement", F.lit(" \n")).alias("statement"), "reason")
+
+
 def write_ncbi_dump(spark, sf, folder):
     names, nodes, divisions = taxonomy_tables(spark, sf)
 
