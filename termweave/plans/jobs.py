@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave import sinks
+from termweave.functions import text as tx
 from termweave.functions.encode import Encoder, HashingEncoder, encode
 from termweave.operators import annotations, closure, documents, evaluate, graph, reports, taxa, terms
 from termweave.operators.similarity import score_tags, similarity_join, tag_edges
@@ -77,6 +78,15 @@ def embed_tags(tags: DataFrame, encoder: Encoder) -> DataFrame:
     )
 
 
+def abstract_rejects(found: DataFrame) -> DataFrame:
+    """``(file, block, line, reason, text)`` of what gives no chunks: text that is no record, and records without title, abstract or doi."""
+    missing = [F.when(tx.is_blank(F.col(f"record.{c}")), c) for c in ("title", "abstract")] + [F.when(F.col("record.doi").isNull(), "doi")]
+    missing = F.concat(F.lit("without "), F.concat_ws(", ", *missing))
+    reason = F.coalesce("reason", F.when(missing != "without ", missing))
+    text = F.coalesce("text", F.to_json("record"))
+    return found.select("file", "block", "line", reason.alias("reason"), text.alias("text")).where("reason IS NOT NULL")
+
+
 def build_chunks(abstracts: DataFrame, encoder: Encoder) -> DataFrame:
     """``doi, chunk_idx, text, embedding`` of the valid abstracts, the first abstract of each doi."""
     unique = documents.dedupe_documents(documents.valid_abstracts(abstracts))
@@ -169,18 +179,21 @@ def publish(
 def run_workflow(spark: SparkSession, spec: AnnotationSpec, out: str, encoder: Encoder | None = None) -> DataFrame:
     """From files to published annotations; each stage is written once and read back by the next.
 
-    Stages whose table exists are reused unless ``spec.force``; documents already scored are not scored again.
+    What cannot be read or encoded is listed below ``out/rejects``. Stages whose table exists are reused unless ``spec.force``; documents already scored are not scored again.
     """
     encoder = encoder or encoder_of(spec)
     tables = ("tag_embeddings", "chunk_embeddings", "scores", "scored_documents")
     tag_path, chunk_path, score_path, done_path = (f"{out}/{n}" for n in tables)
     have = set(abstract_files.existing(spark, [tag_path, chunk_path, score_path, done_path]))
     if spec.force or tag_path not in have:
-        tags = build_tags(spark, spec)
+        tags = cut(build_tags(spark, spec))
         sinks.write_tags(tags, f"{out}/tags")
+        sinks.write_table(terms.reject_empty(tags)[1], f"{out}/rejects/tags")
         sinks.write_embeddings(embed_tags(tags, encoder), tag_path, encoder.name, ["ontology"])
     tags = stores.read_embeddings(spark, tag_path, encoder.name)
-    source = abstract_files.read_abstracts(spark, spec.abstract_files, spec.abstract_dirs)
+    found = cut(abstract_files.abstract_records(spark, spec.abstract_files, spec.abstract_dirs))
+    sinks.write_table(abstract_rejects(found), f"{out}/rejects/abstracts")
+    source = found.where("reason IS NULL").select("record.*")
     if chunk_path in have and not spec.force:
         # Known documents go before they are split and encoded.
         seen = stores.read_embeddings(spark, chunk_path, encoder.name).select("doi").distinct()

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from termweave import sinks
-from termweave.operators import documents, taxa
+from termweave.operators import documents, taxa, terms
 from termweave.plans import jobs
 from termweave.sources import abstracts, rdf, rdfxml, stores, taxonomy, turtle
 from termweave.spec import OWL, RDF, RDFS, AnnotationSpec, TaxonSpec
@@ -358,3 +358,71 @@ def abstract_files_mixed(spark, sf):
     arrays.write.text(f"{folder}/arrays")
     read = abstracts.read_abstracts(spark, [f"{folder}/lines", f"{folder}/arrays", f"{folder}/missing"])
     return read.select("doi", F.length("abstract").cast("long").alias("chars"))
+
+
+BROKEN = {
+    3: ('{"doi": "10.5555/%s", "title": "cut', "cut short or malformed"),
+    4: ('{"doi": "10.5555/%s"', "cut short or malformed"),
+    5: ("no record of %s", "not an object"),
+}
+
+
+def write_cut_lines(spark, sf, path):
+    """Documents as JSON lines; beside some of them a line that was cut short or is no JSON, beside others a record without a title."""
+    key, broken = text_of("doc_id"), F.lit(None).cast("string")
+    for rest, (text, _) in BROKEN.items():
+        head, tail = text.split("%s")
+        broken = F.when(F.col("doc_id") % 6 == rest, F.concat(F.lit(head), F.col("key"), F.lit(tail))).otherwise(broken)
+    untitled = F.concat(F.lit('{"doi":"10.5557/'), "key", F.lit('","abstract":"a"}'))
+    broken = F.when(F.col("doc_id") % 6 == 2, untitled).otherwise(broken)
+    rows = document_abstracts(spark, sf).where("abstract IS NOT NULL").withColumn("key", key)
+    rows = rows.select(F.array(F.to_json(F.struct("doi", "title", "abstract")), broken).alias("lines"))
+    rows.select(F.explode("lines").alias("value")).where("value IS NOT NULL").write.text(path)
+
+
+@query(
+    "abstract_files_cut",
+    """SELECT '10.5555/' || doc_id AS doi, length(text) AS chars FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT '10.5557/' || doc_id, 1 FROM documents WHERE text IS NOT NULL AND doc_id % 6 = 2""",
+)
+def abstract_files_cut(spark, sf):
+    """The records of files half of whose lines are broken."""
+    path = scratch(spark)
+    write_cut_lines(spark, sf, path)
+    return abstracts.read_abstracts(spark, path).select("doi", F.length("abstract").cast("long").alias("chars"))
+
+
+@query(
+    "abstract_rejects",
+    " UNION ALL ".join(
+        f"""SELECT '{text.replace("%s", "' || doc_id || '")}' AS text, '{reason}' AS reason FROM documents WHERE text IS NOT NULL AND doc_id % 6 = {rest}"""
+        for rest, (text, reason) in BROKEN.items()
+    )
+    + """ UNION ALL SELECT '{"abstract":"a","doi":"10.5557/' || doc_id || '"}', 'without title' FROM documents WHERE text IS NOT NULL AND doc_id % 6 = 2
+    UNION ALL SELECT 'blank', CASE WHEN regexp_matches(text, '[^\t-\r\x1c-\x20\x85\p{Z}]') THEN 'without title' ELSE 'without title, abstract' END
+    FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(split_part(text, chr(10), 1), '[^\t-\r\x1c-\x20\x85\p{Z}]')""",
+)
+def abstract_rejects(spark, sf):
+    """What is no record or has no title or abstract, with the reason."""
+    path = scratch(spark)
+    write_cut_lines(spark, sf, path)
+    found = jobs.abstract_rejects(abstracts.abstract_records(spark, path))
+    whole = F.contains("text", F.lit('"doi":"10.5555/'))
+    return found.select(F.when(whole, "blank").otherwise(F.col("text")).alias("text"), "reason")
+
+
+@query(
+    "tag_rejects",
+    """SELECT p_partkey::VARCHAR AS term FROM part WHERE p_partkey % 5 = 0""",
+)
+def tag_rejects(spark, sf):
+    """Tags without label and description, as the workflow lists them, from the files that tags are kept in."""
+    path = scratch(spark)
+    empty = F.when(F.col("p_partkey") % 5 == 0, " ")
+    tags = table(spark, sf, "part").select(
+        F.lit("parts").alias("ontology"), text_of("p_partkey").alias("term"), F.coalesce(empty, "p_name").alias("rdfs_label"), empty.alias("description")
+    )
+    sinks.write_tags(tags, path)
+    layout = "term string, rdfs_label string, description string, ontology string"
+    stored = spark.read.schema(layout).option("header", True).option("escape", '"').csv(path)
+    return terms.reject_empty(stored)[1].select("term")
