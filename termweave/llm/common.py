@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -57,6 +58,12 @@ def batch_bytes(spark: SparkSession, limit: int = 1 << 21) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: Spark deletes the shuffle files of finished steps only then, and a heap of its size may wait for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WORD, batch_bytes, components, pieces, running_total, shingle_hashes, small, word_hashes
+from termweave.llm.common import WORD, batch_bytes, components, pieces, release_shuffles, running_total, shingle_hashes, small, word_hashes
 from termweave.runtime import cut
 
 FRAGMENTS = 8
@@ -159,6 +159,7 @@ def link_classes(docs: DataFrame, sets: DataFrame, reps: DataFrame, k: int, perc
     left = sizes.join(alone, "doc_id", "left").where((F.coalesce("alone", F.lit(0)) <= spare) | (F.col("rows") > 1))
     with batch_bytes(docs.sparkSession):
         left = cut(left.join(reps, "doc_id", "left_semi").select("doc_id"))
+    release_shuffles(docs.sparkSession)  # each step's files go before the next one writes its own
 
     # The whole sets of what is left, and the frequencies among them.
     lists = shingle_lists(docs.join(small(left), "doc_id", "left_semi"), k)
@@ -178,6 +179,7 @@ def link_classes(docs: DataFrame, sets: DataFrame, reps: DataFrame, k: int, perc
         .groupBy("doc_id", F.pmod("gram", F.lit(FRAGMENTS)).alias("fragment"))
         .agg(F.collect_list("gram").alias("part"))
     )
+    release_shuffles(docs.sparkSession)
     # Unshared shingles are the rarest and fill the front of a prefix.
     prefix = F.col("shared") - _needed(percent, F.col("n")) + 1
     alone = F.col("n") - F.col("shared")
@@ -189,6 +191,7 @@ def link_classes(docs: DataFrame, sets: DataFrame, reps: DataFrame, k: int, perc
     star = _ends(hubs, "a").join(_ends(posting, "b"), "gram").where("a <> b").where(_bounds(percent))
     links = cut(_verify(star.select("a", "b", "n_a", "n_b").distinct(), segments, percent))
 
+    release_shuffles(docs.sparkSession)
     labels = components(links).select(F.col("node").alias("doc_id"), "component")
     placed = cut(posting.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     per = placed.groupBy("gram", "component").agg(F.count("*").alias("members"))
