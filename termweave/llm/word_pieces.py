@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 from termweave.llm.common import give_back
 
 IDLE_SECONDS = 8
+TOGETHER = 100  # new pieces encoded as one text
 MARKS = (" ", "\n")
 
 
@@ -54,7 +55,8 @@ def byte_level_coder(name: str, special: bool = True) -> Coder:
     tokens = [b""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
         tokens[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-    return Coder(lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)], _opens(tokens), tokens)
+    # The call that does not work out offsets.
+    return Coder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], _opens(tokens), tokens)
 
 
 def piece_coder(name: str) -> Coder:
@@ -114,7 +116,7 @@ class PieceCache:
             if not group:
                 continue
             glue = "" if mark == "\n" else " "
-            joined = [glue + glue.join(group[i : i + 4000]) for i in range(0, len(group), 4000)]
+            joined = [glue + glue.join(group[i : i + TOGETHER]) for i in range(0, len(group), TOGETHER)]
             place = len(self.starts[0])
             for c, coder in enumerate(self.coders):
                 found = [np.asarray(x, np.int32) for x in coder.encode(joined)]
