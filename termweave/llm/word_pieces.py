@@ -71,6 +71,24 @@ def piece_coder(name: str) -> Coder:
     return Coder(lambda texts: model.encode([t[1:] if t[:1] == " " else t for t in texts], num_threads=1), _opens(tokens), tokens)
 
 
+class Places(dict):
+    """Place of each piece. One that is asked for the first time joins ``new`` and has -2, -3, ... until it is encoded."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = place = -1 - len(self.new)
+        return place
+
+    def drop_new(self) -> None:
+        for piece in self.new:
+            del self[piece]
+        self.new = []
+
+
 class PieceCache:
     """Ids of texts in one or several vocabularies by way of pieces that start at single blanks or line ends before other characters.
 
@@ -81,7 +99,7 @@ class PieceCache:
 
     def __init__(self, coders: list[Coder], limit: int = 1_000_000):
         self.coders, self.limit = coders, limit
-        self.known: dict[str, int] = {}
+        self.known = Places()
         # Place -1, of pieces that cannot stand alone, is the last one.
         self.flat = [np.empty(0, np.int32) for _ in coders]
         self.starts, self.lengths = ([np.zeros(1, np.int64) for _ in coders] for _ in range(2))
@@ -97,7 +115,7 @@ class PieceCache:
         names = list(self.known)
         old = np.fromiter(self.known.values(), np.int64, len(names))
         new = np.where(old >= 0, place[old], -1)
-        self.known = {names[i]: p for i, p in zip(np.flatnonzero(new > 0).tolist(), new[new > 0].tolist())}
+        self.known = Places((names[i], p) for i, p in zip(np.flatnonzero(new > 0).tolist(), new[new > 0].tolist()))
         for c in range(len(self.coders)):
             lengths = self.lengths[c][again]
             ends = np.cumsum(lengths)
@@ -106,13 +124,14 @@ class PieceCache:
             self.starts[c], self.lengths[c] = np.append(0, ends - lengths), np.append(0, lengths)
         self.hits = np.zeros(len(again) + 1, np.int64)
 
-    def _learn(self, words: set[str]):
-        """Encode new pieces, many in a text. A piece begins where an id's token begins with its blank or line end."""
-        new = words.difference(self.known)
-        self.known.update(dict.fromkeys(new, -1))
-        alone = [w for w in new if w and "▁" not in w]
-        groups = {" ": [w for w in alone if not w[0].isspace()], "\n": [w for w in alone if w[0] == "\n" and len(w) > 1 and not w[1].isspace()]}
-        for mark, group in groups.items():
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Encode new pieces, many in a text, and return their places. A piece begins where an id's token begins with its blank or line end."""
+        places = np.full(len(new), -1, np.int64)
+        alone = [i for i, w in enumerate(new) if w and "▁" not in w]
+        blank = [i for i in alone if not new[i][0].isspace()]
+        line = [i for i in alone if new[i][0] == "\n" and len(new[i]) > 1 and not new[i][1].isspace()]
+        for mark, members in ((" ", blank), ("\n", line)):
+            group = [new[i] for i in members]
             if not group:
                 continue
             glue = "" if mark == "\n" else " "
@@ -128,8 +147,10 @@ class PieceCache:
                 self.starts[c] = np.concatenate([self.starts[c], len(self.flat[c]) + begins])
                 self.lengths[c] = np.concatenate([self.lengths[c], np.diff(np.append(begins, len(ids)))])
                 self.flat[c] = np.concatenate([self.flat[c], ids])
-            self.known.update(zip(group, range(place, place + len(group))))
+            places[members] = np.arange(place, place + len(group))
+        self.known.update(zip(new, places.tolist()))
         self.hits = np.concatenate([self.hits, np.zeros(len(self.starts[0]) - len(self.hits), np.int64)])
+        return places
 
     def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
         """For each vocabulary the ids of each text."""
@@ -137,9 +158,13 @@ class PieceCache:
             self._forget()
         split = [t.replace("\n", " \n").split(" ") for t in texts]
         before = len(self.hits)
-        self._learn(set().union(*[w[1:] for w in split]))
         counts = np.fromiter((len(w) - 1 for w in split), np.int64, len(split))
+        self.known.drop_new()  # left by a task that failed
         k = np.fromiter(map(self.known.__getitem__, chain.from_iterable(w[1:] for w in split)), np.int64, int(counts.sum()))
+        if self.known.new:
+            fresh = np.flatnonzero(k < -1)
+            k[fresh] = self._learn(self.known.new)[-2 - k[fresh]]
+            self.known.new = []
         met = k[(k > 0) & (k < before)]
         self.hits[:before] += np.bincount(met, minlength=before)
         word_end = np.cumsum(counts)
