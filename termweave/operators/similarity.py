@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -22,6 +23,7 @@ BROADCAST_BYTES = 256 << 20  # largest tag table sent whole to every executor
 SHARE_BYTES = 256 << 20  # tag vectors held by one task beyond that
 TASK_FLOPS = 2e12  # multiplications wanted per task, about a minute on one core
 MAX_PARTITIONS = 100_000
+RING = 9  # parts of a table joined with itself; 5 of 9 products are done
 ROWS, COLS, PAIRS = 1024, 4096, 1 << 15  # block sizes of the matrix product and of the exact re-score
 
 
@@ -130,6 +132,16 @@ def _result_schema(chunks: DataFrame, keep: list[str], tags: DataFrame, tag_key:
     return T.StructType([*fields, T.StructField("similarity", T.DoubleType())])
 
 
+def place_on_ring(key: Column, ring: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(ring)).cast("int")
+
+
+def _once(pairs: DataFrame, left: str, right: str, ring: int) -> DataFrame:
+    """Rows of two places have met one way round only, rows of one place both ways."""
+    a, b = F.col(left), F.col(right)
+    return pairs.where((place_on_ring(a, ring) != place_on_ring(b, ring)) | (a < b)) if ring else pairs
+
+
 def block_join(
     chunks: DataFrame,
     tags: DataFrame,
@@ -142,8 +154,13 @@ def block_join(
     broadcast_bytes: int = BROADCAST_BYTES,
     share_bytes: int = SHARE_BYTES,
     zeros: bool = False,
+    ring: int = 0,
 ) -> DataFrame:
-    """Rows ``keep + [tag_key, similarity]`` found by ``kernel`` over all (chunk, tag) pairs; zero vectors only if ``zeros``."""
+    """Rows ``keep + [tag_key, similarity]`` found by ``kernel`` over all (chunk, tag) pairs; zero vectors only if ``zeros``.
+
+    ``ring``, an odd number, is for a table joined with itself on its key, ``keep[0]``: keys lie on so many places, and a row meets
+    its own place and the next ``ring // 2``. Any two rows of different keys are compared and given once, in one order or the other.
+    """
     keep = [c for c in chunks.columns if c != chunk_vector] if keep is None else list(keep)
     chunks = chunks.select(*keep, F.col(chunk_vector).alias("__vector"))
     tags = tags.select(tag_key, F.col(tag_vector).alias("__vector"))
@@ -155,28 +172,35 @@ def block_join(
     single = isinstance(tags.schema["__vector"].dataType.elementType, T.FloatType)
     vector_bytes = values * (8 if single else 12)  # the given values and the float32 unit vectors
     if vector_bytes + ids <= broadcast_bytes:
-        return _with_broadcast(chunks, tags, kernel, keep, tag_key, schema, zeros)
-    return _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, values, share_bytes, zeros)
-
-
-def _with_broadcast(chunks, tags, kernel, keep, tag_key, schema, zeros) -> DataFrame:
-    table = tags.toArrow()
-    ids = table[tag_key].combine_chunks()
-    plain = {w: (b.positions, b.raw, b.unit, b.norms) for w, b in _blocks(table["__vector"], zeros).items()}
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, plain))
+        return _with_broadcast(chunks, tags, kernel, keep, tag_key, schema, zeros, ring)
+    return _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, values, share_bytes, zeros, ring)
+
+
+def _with_broadcast(chunks, tags, kernel, keep, tag_key, schema, zeros, ring) -> DataFrame:
+    places = max(ring, 1)
+    table = tags.withColumn("__place", place_on_ring(F.col(tag_key), places)).toArrow()
+    parts = []
+    for place in range(places):
+        part = table.filter(pc.equal(table["__place"], place))
+        plain = {w: (b.positions, b.raw, b.unit, b.norms) for w, b in _blocks(part["__vector"], zeros).items()}
+        parts.append((part[tag_key].combine_chunks(), plain))
+    shared = chunks.sparkSession.sparkContext.broadcast(parts)
     arrow_schema = to_arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tag, plain = shared.value
-        right = {w: Block(*parts) for w, parts in plain.items()}
+        rights = [(tag, {w: Block(*block) for w, block in plain.items()}) for tag, plain in shared.value]
         for batch in batches:
-            keys = [batch.column(n) for n in keep]
-            yield from _emit(keys, _blocks(batch.column("__vector"), zeros), tag, right, kernel, arrow_schema)
+            for place in pc.unique(batch.column("__place")).to_pylist():
+                rows = batch.filter(pc.equal(batch.column("__place"), place)) if ring else batch
+                keys, left = [rows.column(n) for n in keep], _blocks(rows.column("__vector"), zeros)
+                for step in range(places // 2 + 1):
+                    yield from _emit(keys, left, *rights[(place + step) % places], kernel, arrow_schema)
 
-    return chunks.mapInArrow(scan, schema)
+    place = place_on_ring(F.col(keep[0]), ring) if ring else F.lit(0)
+    return _once(chunks.withColumn("__place", place).mapInArrow(scan, schema), keep[0], tag_key, ring)
 
 
-def _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, width_sum, share_bytes, zeros) -> DataFrame:
+def _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, width_sum, share_bytes, zeros, ring) -> DataFrame:
     """Grid of (chunk slice, tag share) cells; every chunk meets every share in exactly one cell.
 
     A row's place comes from a hash of its content and of its input partition: a lost task redone gives the same
@@ -186,6 +210,8 @@ def _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, widt
     spark = chunks.sparkSession
     n_chunks = chunks.count()
     shares = max(1, math.ceil(vector_bytes / share_bytes))
+    if ring:  # the shares are the places
+        shares = max(ring, shares | 1)
     tasks = max(spark.sparkContext.defaultParallelism, n_chunks * width_sum / TASK_FLOPS)
     slices = max(1, min(math.ceil(tasks / shares), MAX_PARTITIONS, n_chunks))
 
@@ -198,14 +224,18 @@ def _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, widt
     tag_type = tags.schema[tag_key].dataType
     no_keys = [F.lit(None).cast(schema[n].dataType).alias(n) for n in keep]
     tag_rows = (
-        tags.withColumn("__share", number([tag_key], shares))
+        tags.withColumn("__share", place_on_ring(F.col(tag_key), shares) if ring else number([tag_key], shares))
         .withColumn("__slice", all_of(slices))
         .select("__slice", "__share", F.lit(0).alias("__side"), *no_keys, F.col(tag_key).alias("__tag"), "__vector")
     )
     no_tag = F.lit(None).cast(tag_type).alias("__tag")
+    met = all_of(shares)
+    if ring:
+        own = place_on_ring(F.col(keep[0]), shares)
+        met = F.explode(F.transform(F.sequence(F.lit(0), F.lit(shares // 2)), lambda step: F.pmod(own + step, F.lit(shares))))
     chunk_rows = (
         chunks.withColumn("__slice", number([*keep, "__vector"], slices))
-        .withColumn("__share", all_of(shares))
+        .withColumn("__share", met)
         .select("__slice", "__share", F.lit(1).alias("__side"), *keep, no_tag, "__vector")
     )
     cells = (
@@ -238,7 +268,7 @@ def _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, widt
                     keys = [run.column(n) for n in keep]
                     yield from _emit(keys, _blocks(run.column("__vector"), zeros), tag, right, kernel, arrow_schema)
 
-    return cells.mapInArrow(stream, schema)
+    return _once(cells.mapInArrow(stream, schema), keep[0], tag_key, shares if ring else 0)
 
 
 def similarity_join(
@@ -267,7 +297,11 @@ def best_similarity(chunks: DataFrame, tags: DataFrame, metric: str = "manhattan
 
 
 def tag_edges(tags: DataFrame, threshold: float, **options) -> DataFrame:
-    """``tag_a < tag_b`` with cosine above the threshold; computed once per tag table, not once per document."""
+    """``tag_a < tag_b`` with cosine above the threshold; computed once per tag table, not once per document.
+
+    Tags lie on a ring of places: two tags of different places are compared once, whichever comes first.
+    """
+    options = {"ring": RING, **options}
     pairs = similarity_join(
         tags.select(F.col("tag").alias("tag_a"), "embedding"),
         tags.select(F.col("tag").alias("tag_b"), "embedding"),
@@ -276,4 +310,5 @@ def tag_edges(tags: DataFrame, threshold: float, **options) -> DataFrame:
         tag_key="tag_b",
         **options,
     )
-    return pairs.where(F.col("tag_a") < F.col("tag_b"))
+    a, b = F.col("tag_a"), F.col("tag_b")
+    return pairs.select(F.least(a, b).alias("tag_a"), F.greatest(a, b).alias("tag_b"), "similarity").where("tag_a < tag_b")

@@ -107,6 +107,29 @@ def test_edges_are_strict_and_ordered(spark):
     assert sim.similarity_join(equal.select(F.col("tag").alias("doi"), "embedding"), equal, 1.0).count() == 4
 
 
+@pytest.mark.parametrize("options", [{"ring": 9}, {"ring": 3, "broadcast_bytes": 0, "share_bytes": 700}, {"ring": 5, "broadcast_bytes": 0}])
+def test_self_join_compares_two_tags_once(spark, data, options, monkeypatch):
+    tags = [t for t in data[1] if t[0] != "none"] + [(None, [1.0] * 8), ("t0", [1.0] * 8), ("t0", [1.0] * 8)]
+    table = spark.createDataFrame(tags, TAG).repartition(3)
+    expected = {}
+    for (a, _, b), s in brute([(t, 0, v) for t, v in tags if t], [x for x in tags if x[0]], 0.1, True).items():
+        if a < b:
+            expected[a, b] = s
+    rows = sim.tag_edges(table, 0.1, **options).collect()
+    assert {(r.tag_a, r.tag_b) for r in rows} == set(expected)
+    # Three vectors are named t0; every other pair comes once.
+    assert len([r for r in rows if "t0" not in (r.tag_a, r.tag_b)]) == len([p for p in expected if "t0" not in p])
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(a, b):
+        met.add(len(a.raw) * len(b.raw))
+        return iter(())
+
+    left = table.select(F.col("tag").alias("tag_a"), "embedding")
+    sim.block_join(left, table, counted, **options).collect()
+    assert met.value < 0.75 * 63**2
+
+
 def test_no_tags_no_rows(spark, data):
     c = spark.createDataFrame(data[0][:10], CHUNK)
     assert sim.similarity_join(c, spark.createDataFrame([], TAG), 0.1).count() == 0
