@@ -44,11 +44,14 @@ def build_owl_tags(spark: SparkSession, spec: AnnotationSpec, multi: str = "agg"
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def build_gbif_tags(spark: SparkSession, spec: TaxonSpec, raw: bool = False) -> DataFrame:
-    """Tags of the two-column extract, or of the full dump (``raw``)."""
-    taxa_rows = taxonomy.read_gbif_taxa(spark, os.path.join(spec.work_dir, spec.taxon_file), raw)
-    names = taxonomy.read_gbif_vernacular(spark, os.path.join(spec.work_dir, spec.vernacular_file))
-    return taxa.gbif_tags(taxa_rows, names, spec.regex, spec.cap)
+def build_gbif_tags(spark: SparkSession, spec: TaxonSpec) -> DataFrame:
+    """Tags of the two-column extracts; where one is missing, the dump's own file stands in for it."""
+    extracts = [os.path.join(spec.work_dir, name) for name in (spec.taxon_file, spec.vernacular_file)]
+    dump = [os.path.join(spec.work_dir, name) for name in (taxonomy.GBIF_TAXA, taxonomy.GBIF_VERNACULAR)]
+    have = abstract_files.existing(spark, extracts)
+    taxa_path, names_path = (path if path in have else full for path, full in zip(extracts, dump))
+    taxa_rows = taxonomy.read_gbif_taxa(spark, taxa_path, raw=taxa_path not in have)
+    return taxa.gbif_tags(taxa_rows, taxonomy.read_gbif_vernacular(spark, names_path), spec.regex, spec.cap)
 
 
 def build_ncbi_tags(spark: SparkSession, spec: TaxonSpec) -> DataFrame:
@@ -158,6 +161,25 @@ def run_evaluation(scores: DataFrame, truth: DataFrame, links: DataFrame | None
     return evaluate.evaluate_linked_sweep(scores, truth, links)
 
 
+def build_graphs(
+    spark: SparkSession, score_paths: str | list[str], spec: AnnotationSpec, out: str, layout: str = "lines", generated_at: str | None = None
+) -> None:
+    """One RDF graph below ``out`` for each score file (or folder of a Spark write), each with its own provenance."""
+    scores = stores.read_scores_json(spark, score_paths, layout).withColumn("graph", graph.graph_name(F.col("run")))
+    # A file of several lines may hold a score twice.
+    scores = cut(scores.groupBy("graph", "doi", "tag").agg(F.max("similarity").alias("similarity")))
+    provenance = graph.provenance_triples(
+        scores,
+        encoder_name=spec.encoder,
+        system_name="termweave",
+        threshold_chunk=spec.threshold_chunk,
+        threshold_tag=spec.threshold_tag,
+        generated_at=generated_at,
+        by=["graph"],
+    )
+    sinks.write_graphs(graph.annotation_triples(scores, by=["graph"]).unionByName(provenance), out)
+
+
 def publish(
     abstracts: DataFrame, scores: DataFrame, tags: DataFrame, spec: AnnotationSpec, out: str, ancestors=None
 ) -> None:

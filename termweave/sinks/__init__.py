@@ -83,6 +83,14 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
     ntriples_lines(triples).write.mode("overwrite").text(path)
 
 
+def write_graphs(triples: DataFrame, path: str) -> None:
+    """A folder ``graph=<name>`` of N-Triples per value of the column ``graph``.
+
+    Rows are not gathered per graph, so one that holds most triples is written by many tasks.
+    """
+    ntriples_lines(triples, ["graph"]).write.mode("overwrite").partitionBy("graph").text(path)
+
+
 def union_frames(frames: list[DataFrame]) -> DataFrame:
     """All rows under the union of all columns, nulls where a frame lacks one."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -290,15 +290,42 @@ def ncbi_compiled_file(spark, sf):
     return taxonomy.read_compiled_ncbi(spark, path)
 
 
-@query(
-    "gbif_file_tags",
-    """SELECT 'https://www.gbif.org/species/' || n_nationkey AS term, n_name AS rdfs_label,
+SQL_GBIF = """SELECT 'https://www.gbif.org/species/' || n_nationkey AS term, n_name AS rdfs_label,
     coalesce((SELECT string_agg(s_name, ', ' ORDER BY s_name) FROM supplier WHERE s_nationkey = n_nationkey), '') AS description
-    FROM nation""",
-)
+    FROM nation"""
+
+
+@query("gbif_file_tags", SQL_GBIF)
 def gbif_file_tags(spark, sf):
     """Full dump files with headers and short rows."""
     folder = scratch(spark)
+    write_gbif_dump(spark, sf, folder)
+    taxa_rows = taxonomy.read_gbif_taxa(spark, f"{folder}/Taxon.tsv", raw=True)
+    vernacular = taxonomy.read_gbif_vernacular(spark, f"{folder}/VernacularName.tsv")
+    return taxa.gbif_tags(taxa_rows, vernacular).select("term", "rdfs_label", "description")
+
+
+@query("gbif_dump_job", SQL_GBIF + " WHERE contains(lower(n_name), 'ation_1')")
+def gbif_dump_job(spark, sf):
+    """The job over a folder that has the dump's own files only."""
+    folder = scratch(spark)
+    write_gbif_dump(spark, sf, folder)
+    return jobs.build_gbif_tags(spark, TaxonSpec(folder, "ation_1")).select("term", "rdfs_label", "description")
+
+
+@query("gbif_extract_job", SQL_GBIF)
+def gbif_extract_job(spark, sf):
+    """The job over two-column extracts; the dump's files beside them are not read."""
+    folder = scratch(spark)
+    write_gbif_dump(spark, sf, folder)
+    nation, supplier = table(spark, sf, "nation"), table(spark, sf, "supplier")
+    nation.select(F.concat_ws("\t", text_of("n_nationkey"), "n_name").alias("value")).write.text(f"{folder}/taxon_own.tsv")
+    supplier.select(F.concat_ws("\t", text_of("s_nationkey"), "s_name").alias("value")).write.text(f"{folder}/names_own.tsv")
+    spec = TaxonSpec(folder, taxon_file="taxon_own.tsv", vernacular_file="names_own.tsv")
+    return jobs.build_gbif_tags(spark, spec).select("term", "rdfs_label", "description")
+
+
+def write_gbif_dump(spark, sf, folder):
     head = spark.range(1).select(F.lit("taxonID\tdatasetID\tx\ty\tz\tscientificName\trank").alias("value"))
     nation, supplier = table(spark, sf, "nation"), table(spark, sf, "supplier")
     full = nation.select(F.concat_ws("\t", text_of("n_nationkey"), *[F.lit("-")] * 4, "n_name", F.lit("nation")).alias("value"))
@@ -307,9 +334,6 @@ def gbif_file_tags(spark, sf):
     names_head = spark.range(1).select(F.lit("taxonID\tvernacularName\tlanguage").alias("value"))
     names = supplier.select(F.concat_ws("\t", text_of("s_nationkey"), "s_name", F.lit("en")).alias("value"))
     names_head.unionByName(names).write.text(f"{folder}/VernacularName.tsv")
-    taxa_rows = taxonomy.read_gbif_taxa(spark, f"{folder}/Taxon.tsv", raw=True)
-    vernacular = taxonomy.read_gbif_vernacular(spark, f"{folder}/VernacularName.tsv")
-    return taxa.gbif_tags(taxa_rows, vernacular).select("term", "rdfs_label", "description")
 
 
 @query(

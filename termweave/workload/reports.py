@@ -2,17 +2,21 @@
 
 from pyspark.sql import functions as F
 
+from termweave import sinks
 from termweave.operators import annotations, evaluate, graph, reports
 from termweave.operators.closure import ancestors
 from termweave.plans import jobs
 from termweave.sinks import scores_json
-from termweave.sources.stores import parse_scores
+from termweave.sources import abstracts
+from termweave.sources.stores import parse_scores, read_scores_json
+from termweave.spec import AnnotationSpec
 from termweave.workload.registry import (
     CHUNK_T,
     SQL_VECTORS,
     TAG_T,
     document_abstracts,
     query,
+    scratch,
     table,
     text_of,
     vector_chunks,
@@ -360,3 +364,140 @@ def scores_json_round_trip(spark, sf):
 @query("run_evaluation", sql_plain(list(evaluate.THRESHOLDS)))
 def run_evaluation(spark, sf):
     return _round_metrics(jobs.run_evaluation(scores(spark, sf), tag_truth(spark, sf)))
+
+
+# Files of results
+
+
+@query(
+    "annotation_files",
+    f"""WITH {SQL_VECTORS}, {SQL_DOCS} SELECT doi, tag AS "topicalDescriptor", pmid, NULL::VARCHAR AS reference_id
+    FROM docs JOIN scores USING (doi)""",
+)
+def annotation_files(spark, sf):
+    """Annotation rows to CSV and back."""
+    path = scratch(spark)
+    sinks.write_annotations(annotations.annotation_rows(vector_abstracts(spark, sf), scores(spark, sf)), path)
+    layout = "doi string, topicalDescriptor string, pmid string, reference_id string"
+    return spark.read.schema(layout).option("header", True).csv(path)
+
+
+@query(
+    "summary_files",
+    f"""{SQL_DESCRIBED}
+    SELECT 'tags' AS file, arg_min(ontology, d.tag) AS "Ontology group", split_part(d.tag, '/', -1) AS "Tag", arg_min(label, d.tag) AS "Label",
+           count(*) AS "Count", round(avg(sim), 6) AS "Mean Similarity", round(stddev_pop(sim), 6) AS "Std Similarity", NULL::VARCHAR AS "DOI"
+    FROM d GROUP BY split_part(d.tag, '/', -1)
+    UNION ALL SELECT 'ontologies', ontology, NULL, NULL, count(*), round(avg(sim), 6), round(stddev_pop(sim), 6), NULL FROM d GROUP BY ontology
+    UNION ALL SELECT 'best', ontology, split_part(tag, '/', -1), label, NULL, round(sim, 6), NULL, 'https://doi.org/' || doi FROM d""",
+)
+def summary_files(spark, sf):
+    """The three summaries to CSV with their headers and back, by the names in the headers."""
+    path, found, described = scratch(spark), scores(spark, sf), meta(spark, sf)
+    sinks.write_summary_tags(reports.summary_tags(found, described), f"{path}/tags")
+    sinks.write_summary_ontologies(reports.summary_ontologies(found, described), f"{path}/ontologies")
+    sinks.write_best_similarities(reports.best_similarities(found, described), f"{path}/best")
+
+    def number(name):
+        return F.round(F.col(name).cast("double"), 6)
+
+    def read(name, **columns):
+        rows = spark.read.option("header", True).csv(f"{path}/{name}")
+        return rows.select(F.lit(name).alias("file"), *[c.alias(k.replace("_", " ")) for k, c in columns.items()])
+
+    spread = {"Mean_Similarity": number("Mean Similarity"), "Std_Similarity": number("Std Similarity")}
+    ontology, named = {"Ontology_group": F.col("Ontology group")}, {"Tag": F.col("Tag"), "Label": F.col("Label")}
+    parts = [
+        read("tags", **ontology, **named, Count=F.col("Count").cast("long"), **spread),
+        read("ontologies", **ontology, Count=F.col("Tag Count").cast("long"), **spread),
+        read("best", Ontology_group=F.col("Ontology"), **named, Mean_Similarity=number("Similarity"), DOI=F.col("DOI")),
+    ]
+    return sinks.union_frames(parts)
+
+
+RUN = "'run_' || (split_part(doi, '/', 2)::BIGINT % 3)"
+
+
+def write_runs(spark, sf):
+    """The scores as three folders of JSON lines, by document; returns the folders."""
+    path, found = scratch(spark), rounded(scores(spark, sf))
+    number = F.substring_index("doi", "/", -1).cast("long") % 3
+    folders = [f"{path}/run_{i}" for i in range(3)]
+    for i, folder in enumerate(folders):
+        sinks.write_scores_json(found.where(number == i), folder)
+    return folders
+
+
+@query("scores_files", f"WITH {SQL_VECTORS} SELECT doi, tag, round(sim, 6) AS similarity, {RUN} AS run FROM scores")
+def scores_files(spark, sf):
+    """Score files of several runs, each score with its run."""
+    read = read_scores_json(spark, write_runs(spark, sf))
+    return read.select("doi", "tag", "similarity", F.substring_index("run", "/", -1).alias("run"))
+
+
+def sql_statement(s, p, o):
+    return f"""{s} || ' <{p}> ' || {o} || ' .'"""
+
+
+def sql_number(value):
+    return f"""'"' || {value} || '"^^<http://www.w3.org/2001/XMLSchema#integer>'"""
+
+
+XSD, PROV, OURS = "http://www.w3.org/2001/XMLSchema#", "http://www.w3.org/ns/prov#", "urn:termweave:"
+TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+GRAPH_LINES = [
+    sql_statement("'_:activity'", TYPE, f"'<{PROV}Activity>'"),
+    sql_statement("'_:graph'", TYPE, f"'<{PROV}Entity>'"),
+    sql_statement("'_:graph'", PROV + "generatedAtTime", f"""'"2024-01-01T00:00:00"^^<{XSD}dateTime>'"""),
+    sql_statement("'_:graph'", PROV + "wasGeneratedBy", "'_:activity'"),
+    sql_statement("'_:activity'", OURS + "encoderName", """'"given vectors"'"""),
+    sql_statement("'_:activity'", OURS + "systemName", """'"termweave"'"""),
+    sql_statement("'_:activity'", OURS + "similarityThreshold", f"""'"{CHUNK_T}"^^<{XSD}float>'"""),
+    sql_statement("'_:activity'", OURS + "tagSimilarityThreshold", f"""'"{TAG_T}"^^<{XSD}float>'"""),
+    sql_statement("'_:activity'", OURS + "similarityMethod", "'<https://w3id.org/semapv/vocab/SemanticSimilarityThresholdMatching>'"),
+    sql_statement("'_:graph'", OURS + "totalTriplets", sql_number("t")),
+    sql_statement("'_:graph'", OURS + "abstractsProcessed", sql_number("a")),
+]
+SCORE_LINES = [
+    sql_statement("'<https://doi.org/' || replace(url_encode(doi), '%2F', '/') || '>'", "http://purl.org/dc/elements/1.1/subject", SQL_NODE),
+    sql_statement(SQL_NODE, "http://www.w3.org/2004/02/skos/core#closeMatch", "'<' || tag || '>'"),
+    sql_statement(SQL_NODE, OURS + "similarityScore", f"""'"' || sim || '"^^<{XSD}float>'"""),
+]
+
+
+@query(
+    "graph_per_file",
+    f"""WITH {SQL_VECTORS}, r AS (SELECT doi, tag, round(sim, 6) AS sim, {RUN} AS graph FROM scores),
+    c AS (SELECT graph, count(*) AS t, count(DISTINCT doi) AS a FROM r GROUP BY graph)
+    SELECT graph, unnest([{", ".join(SCORE_LINES)}]) AS value FROM r
+    UNION ALL SELECT graph, unnest([{", ".join(GRAPH_LINES)}]) FROM c""",
+)
+def graph_per_file(spark, sf):
+    """Score files to one RDF graph each, with its own provenance and counts, read back line by line."""
+    out = scratch(spark)
+    spec = AnnotationSpec(encoder="given vectors", threshold_chunk=CHUNK_T, threshold_tag=TAG_T)
+    jobs.build_graphs(spark, write_runs(spark, sf), spec, out, generated_at="2024-01-01T00:00:00")
+    return spark.read.text(out).select(F.regexp_replace("graph", "-[0-9a-f]{8}$", "").alias("graph"), "value")
+
+
+def name_files(spark, folder, name):
+    """Give the files of a Spark write names by number, as evaluation abstracts have them."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*")
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, status in enumerate(files.globStatus(pattern)):
+        files.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/{name % i}"))
+
+
+@query(
+    "truth_files",
+    """SELECT '10.5555/' || (vec_id // 10) AS doi, string_agg('D' || label, ',' ORDER BY 'D' || label) AS descriptor FROM embeddings GROUP BY 1""",
+)
+def truth_files(spark, sf):
+    """Evaluation abstracts in numbered files; files of other names beside them do not count."""
+    folder = scratch(spark)
+    label_truth(spark, sf).write.json(folder)
+    name_files(spark, folder, "abstracts_%d.json")
+    label_truth(spark, sf).write.mode("append").json(folder)
+    name_files(spark, folder, "abstracts_%dx.json")
+    return abstracts.read_truth(spark, folder).select("doi", F.array_join(F.sort_array("descriptor"), ",").alias("descriptor"))

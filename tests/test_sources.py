@@ -8,7 +8,7 @@ from termweave import sinks
 from termweave.operators import documents, graph, taxa, terms
 from termweave.plans import jobs
 from termweave.sources import abstracts, rdf, stores, taxonomy
-from termweave.spec import RDF, RDF_LABEL, RDFS, SUBCLASS_OF, OntologySpec
+from termweave.spec import RDF, RDF_LABEL, RDFS, SUBCLASS_OF, AnnotationSpec, OntologySpec
 
 MESHV = "http://id.nlm.nih.gov/mesh/vocab#"
 
@@ -222,6 +222,35 @@ def test_embedding_store_replaces_only_its_partition(spark, tmp_path):
     assert {r.tag for r in stores.read_embeddings(spark, path, "enc", ["o1"]).collect()} == {"c"}
 
 
+def test_long_escapes(spark):
+    written = [r"\U0001F600 \U00000041", r"a \\U0001F600", r"\U00000022 it\'s", r"\\'", r"\U0011FFFF", r"\uD83D\uDE00\n"]
+    lines = spark.createDataFrame([(f'<http://e/{i}> <http://e/p> "{text}" .',) for i, text in enumerate(written)], "value string")
+    got = {r.s: r.o for r in rdf.parse_statements(lines).collect()}
+    want = ["\U0001F600 A", "a \\U0001F600", '" it\'s', "\\'", r"\U0011FFFF", "\U0001F600\n"]
+    assert [got[f"http://e/{i}"] for i in range(len(written))] == want
+
+
+def test_graph_per_file(spark, tmp_path):
+    for folder, scores in (("a", {"d": {"t": 0.5, "u": 0.25}}), ("b", {"d": {"t": 0.75}, "e": {}})):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "scores.json").write_text(json.dumps(scores, indent=1))
+    paths = [str(tmp_path / f / "scores.json") for f in "ab"]
+    jobs.build_graphs(spark, paths, AnnotationSpec(), str(tmp_path / "out"), layout="object")
+    rows = spark.read.text(str(tmp_path / "out")).collect()
+    graphs = {r.graph for r in rows}
+    assert len(graphs) == 2 and all(g.startswith("scores-") for g in graphs)
+    assert sorted(sum(r.graph == g for r in rows) for g in graphs) == [11 + 3, 11 + 6]
+    totals = sorted(r.value.split('"')[1] for r in rows if "totalTriplets" in r.value)
+    assert totals == ["1", "2"]
+
+
+def test_truth_takes_numbered_files_only(spark, tmp_path):
+    for name in ("abstracts_1", "abstracts_22", "abstracts_1x", "my_abstracts_3", "abstracts_"):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"doi": name, "descriptor": ["D1"]}))
+    for layout in ("auto", "lines"):
+        assert {r.doi for r in abstracts.read_truth(spark, str(tmp_path), layout=layout).collect()} == {"abstracts_1", "abstracts_22"}
+
+
 def test_ntriples_lines(spark, tmp_path):
     scores = spark.createDataFrame([("10.1/a b", 'http://e/T"1', 0.5)], "doi string, tag string, similarity double")
     triples = graph.annotation_triples(scores)
