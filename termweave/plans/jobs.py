@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -198,16 +201,41 @@ def publish(
     sinks.write_ntriples(graph.annotation_triples(scores).unionByName(provenance), f"{out}/graph")
 
 
+def _digest(*parts) -> str:
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def fingerprints(spark: SparkSession, spec: AnnotationSpec, encoder: Encoder) -> dict[str, str]:
+    """What each stored stage depends on beside the documents: encoder, thresholds, ontologies and the state of their files."""
+    taxonomies = [t for t in (spec.gbif, spec.ncbi) if t and t.work_dir]
+    files = abstract_files.states(spark, [o.path for o in spec.ontologies if o.path] + [t.work_dir for t in taxonomies])
+    described = [asdict(x) for x in (*spec.ontologies, *taxonomies)]
+    tags, chunks = _digest(encoder.name, spec.cap_terms, described, files), _digest(encoder.name)
+    return {"tag_embeddings": tags, "chunk_embeddings": chunks, "scores": _digest(tags, chunks, spec.threshold_chunk, spec.threshold_tag)}
+
+
 def run_workflow(spark: SparkSession, spec: AnnotationSpec, out: str, encoder: Encoder | None = None) -> DataFrame:
     """From files to published annotations; each stage is written once and read back by the next.
 
-    What cannot be read or encoded is listed below ``out/rejects``. Stages whose table exists are reused unless ``spec.force``; documents already scored are not scored again.
+    What cannot be read or encoded is listed below ``out/rejects``. A stage is built anew if its fingerprint in ``out/manifest`` is
+    another one, or with ``spec.force``. Otherwise only documents whose title or abstract is new are encoded and scored, in place of
+    what their doi had; documents no longer among the files stay.
     """
     encoder = encoder or encoder_of(spec)
-    tables = ("tag_embeddings", "chunk_embeddings", "scores", "scored_documents")
-    tag_path, chunk_path, score_path, done_path = (f"{out}/{n}" for n in tables)
-    have = set(abstract_files.existing(spark, [tag_path, chunk_path, score_path, done_path]))
-    if spec.force or tag_path not in have:
+    tables = ("tag_embeddings", "chunk_embeddings", "scores", "scored_documents", "manifest")
+    tag_path, chunk_path, score_path, done_path, manifest = (f"{out}/{n}" for n in tables)
+    have = set(abstract_files.existing(spark, [f"{out}/{n}" for n in tables]))
+    prints = fingerprints(spark, spec, encoder)
+    known = dict(spark.read.parquet(manifest).collect()) if manifest in have else {}  # a row per stage
+    current = {n for n, p in prints.items() if not spec.force and known.get(n) == p and {f"{out}/{n}", done_path} <= have}
+
+    def record(stages) -> None:
+        rows = spark.createDataFrame([(n, prints[n]) for n in sorted(stages)], "stage string, print string")
+        sinks.write_table(rows.coalesce(1), manifest)
+
+    # What is built anew does not count until all is written.
+    record(current)
+    if "tag_embeddings" not in current:
         tags = cut(build_tags(spark, spec))
         sinks.write_tags(tags, f"{out}/tags")
         sinks.write_table(terms.reject_empty(tags)[1], f"{out}/rejects/tags")
@@ -216,23 +244,39 @@ def run_workflow(spark: SparkSession, spec: AnnotationSpec, out: str, encoder: E
     found = cut(abstract_files.abstract_records(spark, spec.abstract_files, spec.abstract_dirs))
     sinks.write_table(abstract_rejects(found), f"{out}/rejects/abstracts")
     source = found.where("reason IS NULL").select("record.*")
-    if chunk_path in have and not spec.force:
+    content = F.sha2(F.to_json(F.struct("title", "abstract")), 256).alias("content")
+    docs = cut(documents.dedupe_documents(documents.valid_abstracts(source)).select("*", content))
+    contents = docs.select("doi", "content")
+
+    if "chunk_embeddings" in current:
+        before = cut(spark.read.parquet(done_path))
         # Known documents go before they are split and encoded.
-        seen = stores.read_embeddings(spark, chunk_path, encoder.name).select("doi").distinct()
-        new = build_chunks(source.join(seen, "doi", "left_anti"), encoder).withColumn("encoder", F.lit(encoder.name))
-        new.write.mode("append").partitionBy("encoder").parquet(chunk_path)
+        new = cut(docs.join(before, ["doi", "content"], "left_anti"))
+        stored = stores.read_embeddings(spark, chunk_path, encoder.name).drop("encoder")
+        replaced = cut(stored.join(new.select("doi"), "doi", "left_semi").select("doi").distinct())
+        chunks = build_chunks(new.drop("content"), encoder)
+        if replaced.isEmpty():
+            chunks.withColumn("encoder", F.lit(encoder.name)).write.mode("append").partitionBy("encoder").parquet(chunk_path)
+        else:
+            kept = stored.join(replaced, "doi", "left_anti")
+            sinks.write_embeddings(cut(kept.unionByName(chunks)), chunk_path, encoder.name)
+        contents = contents.unionByName(before.join(contents, "doi", "left_anti"))
     else:
-        sinks.write_embeddings(build_chunks(source, encoder), chunk_path, encoder.name)
+        new = replaced = None
+        sinks.write_embeddings(build_chunks(docs.drop("content"), encoder), chunk_path, encoder.name)
     chunks = stores.read_embeddings(spark, chunk_path, encoder.name)
     if tags.isEmpty() or chunks.isEmpty():
         raise FileNotFoundError("no tag embeddings found" if tags.isEmpty() else "no abstract embeddings found")
-    if {score_path, done_path} <= have and not spec.force:
-        done = spark.read.parquet(score_path).select("doi").unionByName(spark.read.parquet(done_path)).distinct()
-        fresh = annotate_incremental(chunks, tags, done, spec.threshold_chunk, spec.threshold_tag)
-        fresh.write.mode("append").parquet(score_path)
+
+    if "scores" in current and new is not None:
+        if not replaced.isEmpty():
+            sinks.write_table(cut(spark.read.parquet(score_path).join(replaced, "doi", "left_anti")), score_path)
+        done = chunks.select("doi").join(new.select("doi"), "doi", "left_anti")
+        annotate_incremental(chunks, tags, done, spec.threshold_chunk, spec.threshold_tag).write.mode("append").parquet(score_path)
     else:
         sinks.write_table(annotate(chunks, tags, spec.threshold_chunk, spec.threshold_tag), score_path)
-    sinks.write_table(chunks.select("doi").distinct(), done_path)
+    sinks.write_table(cut(contents), done_path)
+    record(prints)
     scores = spark.read.parquet(score_path)
     sinks.write_scores_json(scores, f"{out}/scores_json")
     publish(source, scores, tags, spec, out)

@@ -90,6 +90,30 @@ def test_workflow(spark, fixtures, tmp_path):
         jobs.annotate_checked(spark, spec, chunk_path, tag_path)
 
 
+def test_workflow_redoes_what_changed(spark, fixtures, tmp_path):
+    changed = tmp_path / "docs.json"
+    rose = {"title": "A rose", "abstract": "My rose grows by the gate.", "doi": "10.1/new"}
+    changed.write_text(json.dumps(rose))
+    spec = AnnotationSpec.from_dict(config(fixtures))
+    spec.abstract_files = [str(changed)]
+    out = str(tmp_path / "out")
+
+    def rows(path, threshold):
+        spec.threshold_chunk = threshold
+        return sorted((r.doi, r.tag, round(r.similarity, 9)) for r in jobs.run_workflow(spark, spec, path).collect())
+
+    def files(table):
+        return sorted(str(p) for p in (tmp_path / "out" / table).rglob("*.parquet"))
+
+    rows(out, 0.3)
+    tags = files("tag_embeddings")
+    assert rows(out, 0.2) == rows(str(tmp_path / "fresh"), 0.2) and files("tag_embeddings") == tags
+    changed.write_text(json.dumps({**rose, "abstract": "A fern in the shade."}))
+    assert rows(out, 0.2) == rows(str(tmp_path / "fresh2"), 0.2)
+    chunks = spark.read.parquet(f"{out}/chunk_embeddings").where("doi = '10.1/new'")
+    assert {r.text for r in chunks.collect()} == {"A rose", "A fern in the shade."}
+
+
 def test_incremental_leaves_done_documents_alone(spark):
     encoder = HashingEncoder(32)
     docs = spark.createDataFrame([("a", "Rose", "A rose."), ("b", "Rose", "A rose.")], "doi string, title string, abstract string")
