@@ -67,7 +67,7 @@ def build_ncbi_tags(spark: SparkSession, spec: TaxonSpec) -> DataFrame:
 
 def build_tags(spark: SparkSession, spec: AnnotationSpec) -> DataFrame:
     """All tags, one row per term; taxonomies overrule ontologies."""
-    parts = [build_owl_tags(spark, spec)]
+    parts = [build_owl_tags(spark, spec)] if spec.ontologies else []
     if spec.gbif and spec.gbif.work_dir:
         parts.append(build_gbif_tags(spark, spec.gbif))
     if spec.ncbi and spec.ncbi.work_dir:

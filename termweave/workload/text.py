@@ -9,6 +9,7 @@ from termweave.plans import jobs
 from termweave.runtime import spread
 from termweave.sinks import write_abstracts
 from termweave.streaming import annotate_stream
+from termweave.spec import AnnotationSpec, TaxonSpec
 from termweave.workload.registry import (
     ENCODER,
     SQL_ABSTRACTS,
@@ -136,6 +137,27 @@ def annotate_documents(spark, sf):
     return rounded(jobs.annotate(text_chunks(spark, sf), passage_tags(spark, sf), TEXT_T, TEXT_T))
 
 
+@query("workflow", SQL_ANNOTATED)
+def workflow(spark, sf):
+    """The whole workflow from files, the passages as a taxonomy. A first run has other thresholds, and other texts for some documents."""
+    folder = scratch(spark)
+    passages = passage_terms(spark, sf).select(F.substring_index("term", "_", -1).alias("id"), "rdfs_label", "description")
+    one_line = [F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\n\r]", " ") for c in ("rdfs_label", "description")]
+    passages.select(F.concat_ws("\t", "id", one_line[0]).alias("value")).write.text(f"{folder}/taxon.tsv")
+    passages.select(F.concat_ws("\t", "id", one_line[1]).alias("value")).write.text(f"{folder}/vernacular_name.tsv")
+    docs = document_abstracts(spark, sf).select("doc_id", "doi", "title", "abstract")
+    early = F.when(F.col("doc_id") % 7 == 0, F.reverse("abstract")).otherwise(F.col("abstract"))
+    docs.withColumn("abstract", early).drop("doc_id").write.json(f"{folder}/early")
+    docs.drop("doc_id").write.json(f"{folder}/docs")
+    spec = AnnotationSpec("hashing-64", 0.6, 0.6, gbif=TaxonSpec(folder), abstract_files=[f"{folder}/early"])
+    jobs.run_workflow(spark, spec, f"{folder}/out")
+    spec.threshold_chunk = spec.threshold_tag = TEXT_T
+    spec.abstract_files = [f"{folder}/docs"]
+    found = jobs.run_workflow(spark, spec, f"{folder}/out")
+    tag = F.concat(F.lit("http://example.org/benchmark/B_"), F.substring_index("tag", "/", -1))
+    return rounded(found.withColumn("tag", tag))
+
+
 @query(
     "annotate_incremental",
     f"""WITH RECURSIVE {SQL_TEXT_SCORES},
