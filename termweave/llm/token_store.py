@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termweave.llm.common import partitions, pieces
+from termweave.llm.common import batch_bytes, partitions, pieces
 from termweave.llm.word_pieces import PieceCache, byte_level_coder, cached, forget_when_idle
 
 PRECISION = 20
@@ -202,7 +202,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> No
     """Write the ids of all texts, in ascending ``doc_id`` order, to ``path``."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = docs.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_writer(vocabulary, end_id), CHAPTERS).write.mode("overwrite").parquet(path)
+    with batch_bytes(docs.sparkSession):
+        ordered.mapInArrow(_writer(vocabulary, end_id), CHAPTERS).write.mode("overwrite").parquet(path)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -17,7 +18,9 @@ from termweave.llm.common import give_back
 
 IDLE_SECONDS = 8
 TOGETHER = 100  # new pieces encoded as one text
+SLICE = 1 << 18  # characters cut into pieces at a time; bounds the memory that a long text takes, with its ids
 MARKS = (" ", "\n")
+BORDER = re.compile(r"(?<=\S) (?=[^\s▁])")
 
 
 class Coder:
@@ -89,16 +92,25 @@ class Places(dict):
         self.new = []
 
 
+def slices(text: str, size: int) -> Iterator[str]:
+    """``text`` in parts of about ``size`` characters, cut before single blanks at which a piece starts; one part where there are none."""
+    start = 0
+    while border := BORDER.search(text, start + size):
+        yield text[start : border.start()]
+        start = border.start()
+    yield text[start:] if start else text
+
+
 class PieceCache:
     """Ids of texts in one or several vocabularies by way of pieces that start at single blanks or line ends before other characters.
 
     There a new token begins in every one of the vocabularies, so the pieces can be encoded alone and their ids joined. A text with
-    runs of white space is encoded whole. Of more than ``limit`` pieces those met again stay, at most half of ``limit``, the most
+    runs of white space is encoded whole, a long one in slices that are cut before such pieces. Of more than ``limit`` pieces those met again stay, at most half of ``limit``, the most
     frequent ones; pieces seen in one batch only are dropped.
     """
 
-    def __init__(self, coders: list[Coder], limit: int = 1_000_000):
-        self.coders, self.limit = coders, limit
+    def __init__(self, coders: list[Coder], limit: int = 300_000, size: int = SLICE):
+        self.coders, self.limit, self.size = coders, limit, size
         self.known = Places()
         # Place -1, of pieces that cannot stand alone, is the last one.
         self.flat = [np.empty(0, np.int32) for _ in coders]
@@ -154,6 +166,26 @@ class PieceCache:
 
     def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
         """For each vocabulary the ids of each text."""
+        out: list[list[list[np.ndarray]]] = [[[] for _ in texts] for _ in self.coders]
+
+        def put(group: list[tuple[int, str]]) -> None:
+            for found, rows in zip(self._encode([t for _, t in group]), out):
+                for (i, _), ids in zip(group, found):
+                    rows[i].append(ids)
+
+        group, held = [], 0
+        for i, text in enumerate(texts):
+            for part in slices(text, self.size):
+                group.append((i, part))
+                held += len(part)
+                if held >= self.size:
+                    put(group)
+                    group, held = [], 0
+        if group:
+            put(group)
+        return [[x[0] if len(x) == 1 else np.concatenate(x) for x in rows] for rows in out]
+
+    def _encode(self, texts: list[str]) -> list[list[np.ndarray]]:
         if len(self.known) > self.limit:
             self._forget()
         split = [t.replace("\n", " \n").split(" ") for t in texts]

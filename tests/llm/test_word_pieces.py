@@ -34,6 +34,13 @@ def test_pieces_give_the_ids_of_whole_texts_in_both_vocabularies(texts):
     assert got(wp.PieceCache(CODERS), texts) == expected(texts)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab'st  .\n\t\u3000é😀_▁ "), max_size=60), min_size=1, max_size=4), st.integers(1, 12))
+def test_slices_give_the_ids_of_whole_texts(texts, size):
+    assert all("".join(wp.slices(x, size)) == x for x in texts)
+    assert got(wp.PieceCache(CODERS, size=size), texts) == expected(texts)
+
+
 def test_forgetting_keeps_what_comes_back():
     rng = random.Random(1)
     cache = wp.PieceCache(CODERS, limit=60)
