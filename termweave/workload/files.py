@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from termweave import sinks
 from termweave.operators import documents, taxa, terms
 from termweave.plans import jobs
+from termweave.runtime import spread
 from termweave.sources import abstracts, rdf, rdfxml, stores, taxonomy, turtle
 from termweave.spec import OWL, RDF, RDFS, AnnotationSpec, TaxonSpec
 from termweave.workload.registry import (
@@ -41,7 +42,7 @@ def write_pubmed(spark, sf, path):
         F.concat(F.lit("{i}"), "c_name", F.lit("{/i}")).alias("ArticleTitle"),
         F.when(balance >= 0, F.struct(texts.alias("AbstractText"))).alias("Abstract"),
     )
-    rows = table(spark, sf, "customer").select(
+    rows = spread(table(spark, sf, "customer")).select(
         F.struct(
             key.alias("PMID"), article.alias("Article"), F.struct(F.array(heading).alias("MeshHeading")).alias("MeshHeadingList")
         ).alias("MedlineCitation"),

@@ -8,6 +8,7 @@ from termweave import sinks
 from termweave.operators import documents, graph, taxa, terms
 from termweave.plans import jobs
 from termweave.sources import abstracts, rdf, stores, taxonomy
+from termweave.schemas import PUBMED_ARTICLE
 from termweave.spec import RDF, RDF_LABEL, RDFS, SUBCLASS_OF, AnnotationSpec, OntologySpec
 
 MESHV = "http://id.nlm.nih.gov/mesh/vocab#"
@@ -292,3 +293,24 @@ def test_layout_is_decided_by_most_lines_of_a_file(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(text)
     found = read_json_records(spark, [str(tmp_path)], ABSTRACTS).select("doi").collect()
     assert sorted(r.doi for r in found if r.doi) == ["a1", "b1", "b2", "c1", "c2", "c3", "d1", "d2"]
+
+
+def test_pubmed_files_of_several_splits(spark, tmp_path):
+    """A file is read by several tasks; tags in comments and literal text are none."""
+    articles = [
+        f"<PubmedArticle>\n<MedlineCitation><PMID>{i}</PMID><Article><ArticleTitle>T {i} <i>x</i></ArticleTitle>"
+        f"<Abstract><AbstractText><![CDATA[</PubmedArticle> {i}]]></AbstractText>\n</Abstract></Article></MedlineCitation>\n"
+        f"<!-- <PubmedArticle>\n --></PubmedArticle>{'' if i % 2 else chr(10)}"
+        for i in range(200)
+    ]
+    path = tmp_path / "a.xml"
+    path.write_text("<?xml version='1.0'?>\n<PubmedArticleSet>" + "".join(articles) + "<PubmedArticle><MedlineCitation><PMID>cut</PMID>")
+    plain = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(PUBMED_ARTICLE).load(str(path))
+    expected = sorted(str(r) for r in plain.collect())
+    assert len(expected) == 201  # one is cut short
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    read = abstracts.read_pubmed_xml(spark, str(path))
+    assert spark.read.text(str(path)).rdd.getNumPartitions() > 10
+    got = sorted(str(r) for r in read.collect())
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == expected
