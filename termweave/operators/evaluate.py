@@ -13,16 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions import text as tx
+from termweave.runtime import small
 
 # Thresholds of the standard sweep.
 THRESHOLDS = (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.99)
 
 
-def predictions(scores: DataFrame) -> DataFrame:
-    """``doi, term, similarity`` by local name, best similarity of equal names."""
-    return scores.groupBy("doi", tx.local_name(F.col("tag")).alias("term")).agg(
-        F.max("similarity").alias("similarity")
-    )
+def predictions(scores: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """``doi, term, similarity`` by local name; scores below all thresholds count nowhere, of equal names the counters take the best."""
+    named = scores.select("doi", tx.local_name(F.col("tag")).alias("term"), "similarity")
+    return named.where(F.col("similarity") >= F.lit(min(thresholds))) if thresholds else named
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -70,7 +70,7 @@ def _sweep(predicted: DataFrame, truth: DataFrame, thresholds: Sequence[float],
 
 def evaluate_sweep(scores: DataFrame, truth: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """``threshold, precision, recall, f1``: predicted local names against descriptors."""
-    predicted = predictions(scores).select("doi", F.lit("d").alias("kind"), "term", "similarity")
+    predicted = predictions(scores, thresholds).select("doi", F.lit("d").alias("kind"), "term", "similarity")
     return _sweep(predicted, truth, thresholds, None)
 
 
@@ -97,7 +97,8 @@ def evaluate_linked_sweep(
 
     A concept without any link is one false positive; false negatives are counted over the descriptor list.
     """
-    mapped = predictions(scores).withColumnRenamed("term", "concept").join(resolve_links(links), "concept", "left")
+    named = predictions(scores, thresholds).withColumnRenamed("term", "concept")
+    mapped = named.join(small(resolve_links(links)), "concept", "left")
     predicted = mapped.select(
         "doi",
         F.when(F.col("descriptor").isNull(), "u").otherwise("d").alias("kind"),

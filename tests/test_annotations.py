@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from termweave import runtime
-from termweave.operators import annotations, graph, reports
+from termweave.operators import annotations, evaluate, graph, reports
 
 SCORES = [("d1", "a", 0.5), ("d1", "b", 0.6), ("d2", "c", 0.7), (None, "a", 0.4), ("d3", None, 0.3)]
 
@@ -42,3 +42,18 @@ def test_iris_with_and_without_rare_characters(spark):
     rows = spark.createDataFrame([("http://e.org/a",), ("http://e.org/a b\t<c>\\d`",), ("_:b1",), (None,)], "v string")
     got = [r.o for r in rows.select(graph._node(F.col("v")).alias("o")).collect()]
     assert got == ["<http://e.org/a>", "<http://e.org/a\\u0020b\\u0009\\u003Cc\\u003E\\u005Cd\\u0060>", "_:b1", None]
+
+
+def test_evaluation_shuffles_scores_once(spark):
+    """Scores below all thresholds are not shuffled; equal names of different tags count once, with the best score."""
+    scores = spark.createDataFrame([("d", "x/a", 0.4), ("d", "y/a", 0.9), ("d", "x/b", 0.2), ("e", "x/c", 0.1)], "doi string, tag string, similarity double")
+    truth = spark.createDataFrame([("d", ["a", "b"]), ("e", ["c"]), ("f", None)], "doi string, descriptor array<string>")
+    swept = evaluate.evaluate_sweep(scores, truth, [0.3, 0.95])
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and ">= 0.3" in plan
+    got = {r.threshold: (round(r.precision, 6), round(r.recall, 6)) for r in swept.collect()}
+    assert got == {0.3: (round(1 / 3, 6), round(0.5 / 3, 6)), 0.95: (0.0, 0.0)}
+    links = spark.createDataFrame([("a", "concept", "D"), ("b", "concept", "E")], "concept string, prop string, descriptor string")
+    real = spark.createDataFrame([("d", ["D"])], "doi string, descriptor array<string>")
+    linked = evaluate.evaluate_linked_sweep(scores, real, links, [0.1, 0.3]).collect()
+    assert {r.threshold: (r.precision, r.recall) for r in linked} == {0.1: (0.5, 1.0), 0.3: (1.0, 1.0)}
