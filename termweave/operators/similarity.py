@@ -1,13 +1,15 @@
 """Similarity of every chunk with every tag, without a cross join.
 
 Small tag tables (size checked first) travel to the tasks as one broadcast matrix: the chunk side is then scanned
-once and never shuffled. Larger tag tables are cut into shares that fit a task; chunk rows are sent to the shares
-they have to meet and each task streams its chunks past its share. Both ways test all pairs and give equal rows.
+once and never shuffled. Larger tag tables are cut into shares that fit a task's memory, and groups of shares that fit its disk;
+chunk rows are sent to the groups they have to meet and each task streams its chunks past its shares. Both ways test all pairs and give equal rows.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -25,6 +27,7 @@ from termweave.runtime import cut
 BROADCAST_BYTES = 256 << 20  # largest tag table sent whole to every executor
 SHARE_BYTES = 256 << 20  # tag vectors held by one task beyond that
 TASK_FLOPS = 2e12  # multiplications wanted per task, about a minute on one core
+SPOOL_BYTES = 1 << 30  # tag vectors that one task keeps on its executor's disk, in shares
 MAX_PARTITIONS = 100_000
 RING = 9  # parts of a table joined with itself; 5 of 9 products are done
 ROWS, COLS, PAIRS = 1024, 4096, 1 << 15  # block sizes of the matrix product and of the exact re-score
@@ -239,11 +242,12 @@ def _with_broadcast(chunks, tags, kernel, keep, tag_key, schema, zeros, ring) ->
 
 
 def _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, width_sum, share_bytes, zeros, ring) -> DataFrame:
-    """Grid of (chunk slice, tag share) cells; every chunk meets every share in exactly one cell.
+    """Grid of (chunk slice, group of tag shares) cells; every chunk meets every share in exactly one cell.
 
     A row's place comes from a hash of its content and of its input partition: a lost task redone gives the same
     cells, whatever the order of its rows, and copies of one row spread over the slices. Tags sort before chunks
-    inside a cell, hence a task holds one tag share and streams the rest. The counts set slices and shares only.
+    inside a cell, hence a task puts its shares on disk, holds one of them and streams the rest. How often a row is sent
+    follows the number of tasks, not that of shares. The counts set slices, shares and groups only.
     """
     spark = chunks.sparkSession
     n_chunks = chunks.count()
@@ -251,7 +255,11 @@ def _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, widt
     if ring:  # the shares are the places
         shares = max(ring, shares | 1)
     tasks = max(spark.sparkContext.defaultParallelism, n_chunks * width_sum / TASK_FLOPS)
-    slices = max(1, min(math.ceil(tasks / shares), MAX_PARTITIONS, n_chunks))
+    # As many tasks as wanted with about as many groups as slices, so that the fewest rows are sent.
+    groups = min(shares, max(math.ceil(vector_bytes / SPOOL_BYTES), math.ceil(math.sqrt(tasks))))
+    per_group = math.ceil(shares / groups)
+    groups = math.ceil(shares / per_group)
+    slices = max(1, min(math.ceil(tasks / groups), MAX_PARTITIONS, n_chunks))
 
     def number(columns: list[str], n: int):
         return F.pmod(F.xxhash64(*columns, F.spark_partition_id()), F.lit(n)).cast("int")
@@ -262,54 +270,86 @@ def _with_shares(chunks, tags, kernel, keep, tag_key, schema, vector_bytes, widt
     tag_type = tags.schema[tag_key].dataType
     no_keys = [F.lit(None).cast(schema[n].dataType).alias(n) for n in keep]
     tag_rows = (
+    def group_of(share: Column) -> Column:
+        return F.floor(share / per_group).cast("int")
+
         tags.withColumn("__share", place_on_ring(F.col(tag_key), shares) if ring else number([tag_key], shares))
         .withColumn("__slice", all_of(slices))
-        .select("__slice", "__share", F.lit(0).alias("__side"), *no_keys, F.col(tag_key).alias("__tag"), "__vector")
+        .select("__slice", group_of(F.col("__share")).alias("__group"), F.lit(0).alias("__side"), "__share", *no_keys, F.col(tag_key).alias("__tag"), "__vector")
     )
     no_tag = F.lit(None).cast(tag_type).alias("__tag")
-    met = all_of(shares)
+    own, met = F.lit(0), all_of(groups)
     if ring:
         own = place_on_ring(F.col(keep[0]), shares)
-        met = F.explode(F.transform(F.sequence(F.lit(0), F.lit(shares // 2)), lambda step: F.pmod(own + step, F.lit(shares))))
+        places = F.transform(F.sequence(F.lit(0), F.lit(shares // 2)), lambda step: group_of(F.pmod(own + step, F.lit(shares))))
+        met = F.explode(F.array_distinct(places))
     chunk_rows = (
         chunks.withColumn("__slice", number([*keep, "__vector"], slices))
-        .withColumn("__share", met)
-        .select("__slice", "__share", F.lit(1).alias("__side"), *keep, no_tag, "__vector")
+        .withColumn("__group", met)
+        .select("__slice", "__group", F.lit(1).alias("__side"), own.alias("__share"), *keep, no_tag, "__vector")
     )
     cells = (
         tag_rows.unionByName(chunk_rows)
-        .repartition(min(slices * shares, MAX_PARTITIONS), "__slice", "__share")
-        .sortWithinPartitions("__slice", "__share", "__side")
+        .repartition(min(slices * groups, MAX_PARTITIONS), "__slice", "__group")
+        .sortWithinPartitions("__slice", "__group", "__side", "__share")
     )
     arrow_schema = to_arrow_schema(schema)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, parts, tag, right = None, [], None, {}
+        cell, share, parts, spool = None, None, [], Spool()
         for batch in batches:
-            marks = [batch.column(n).to_numpy() for n in ("__slice", "__share", "__side")]
+            marks = [batch.column(n).to_numpy() for n in ("__slice", "__group", "__side", "__share")]
             change = np.flatnonzero(np.any([np.diff(m) != 0 for m in marks], axis=0)) + 1
             bounds = [0, *change.tolist(), batch.num_rows]
             for start, stop in zip(bounds, bounds[1:]):
                 if start == stop:
                     continue
                 run = batch.slice(start, stop - start)
-                here = (marks[0][start], marks[1][start])
+                here, side, place = (marks[0][start], marks[1][start]), marks[2][start], marks[3][start]
                 if here != cell:
-                    cell, parts, tag, right = here, [], None, {}
-                if marks[2][start] == 0:
+                    cell, parts = here, []
+                    spool.clear()
+                if parts and (side or place != share):
+                    table = pa.Table.from_batches(parts)
+                    spool.put(share, table["__tag"].combine_chunks(), _blocks(table["__vector"], zeros))
+                    parts = []
+                if not side:
+                    share = place
                     parts.append(run)
                     continue
-                if parts:
-                    table = pa.Table.from_batches(parts)
-                    tag, right, parts = table["__tag"].combine_chunks(), _blocks(table["__vector"], zeros), []
-                if right:
-                    keys = [run.column(n) for n in keep]
-                    yield from _emit(keys, _blocks(run.column("__vector"), zeros), tag, right, kernel, arrow_schema)
+                keys, left = [run.column(n) for n in keep], _blocks(run.column("__vector"), zeros)
+                for number in spool.places:
+                    if not ring or (number - place) % shares <= shares // 2:
+                        yield from _emit(keys, left, *spool.get(number), kernel, arrow_schema)
 
     return _once(cells.mapInArrow(stream, schema), keep[0], tag_key, shares if ring else 0)
 
 
 def _measure(tags: DataFrame, tag_key: str) -> tuple[int, int, int]:
+class Spool:
+    """Tag shares in a file of the executor's own disk, which goes with the task; the share asked for last is held."""
+
+    def __init__(self):
+        self.file, self.places, self.held = tempfile.TemporaryFile(), {}, None
+
+    def clear(self) -> None:
+        self.file.seek(0)
+        self.file.truncate()
+        self.places, self.held = {}, None
+
+    def put(self, share: int, tag: pa.Array, blocks: dict[int, Block]) -> None:
+        self.places[share] = self.file.seek(0, 2)
+        plain = {w: (b.positions, b.raw, b.unit, b.norms) for w, b in blocks.items()}
+        pickle.dump((tag, plain), self.file, pickle.HIGHEST_PROTOCOL)
+
+    def get(self, share: int) -> tuple[pa.Array, dict[int, Block]]:
+        if self.held is None or self.held[0] != share:
+            self.file.seek(self.places[share])
+            tag, plain = pickle.load(self.file)
+            self.held = share, tag, {w: Block(*block) for w, block in plain.items()}
+        return self.held[1:]
+
+
     """Bytes of the vectors as tasks hold them, bytes of the keys, and number of values."""
     values, ids = tags.agg(
         F.coalesce(F.sum(F.greatest(F.size("__vector"), F.lit(0)).cast("long")), F.lit(0)),

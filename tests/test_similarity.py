@@ -175,3 +175,22 @@ def test_manhattan_tiles_are_exact(monkeypatch):
         far = -np.abs(a[:, None].astype(float) - b[None].astype(float)).sum(axis=2)
         assert np.allclose(top, far.max(axis=1), rtol=1e-13, atol=0) and (at == far.argmax(axis=1)).mean() > 0.9
         # In float32 alone the sums are further off, by four orders.
+
+
+def test_chunks_are_not_sent_to_every_share(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = [rng.normal(size=8).tolist() for _ in range(240)]
+    chunks = spark.createDataFrame([(f"d{i}", v) for i, v in enumerate(vectors)], "doi string, embedding array<double>")
+    tags = spark.createDataFrame([(f"t{i}", v) for i, v in enumerate(vectors)], "tag string, embedding array<double>")
+    sent, mapped = [], type(chunks).mapInArrow
+    monkeypatch.setattr(type(chunks), "mapInArrow", lambda self, *a, **b: (sent.append(self.count()), mapped(self, *a, **b))[1])
+    small_shares = {"broadcast_bytes": 0, "share_bytes": 96}  # 240 shares or so
+
+    def rows(**options):
+        joined = sim.similarity_join(chunks, tags, 0.7, **options).select("doi", "tag").collect()
+        edges = sim.tag_edges(tags, 0.7, **options).select("tag_a", "tag_b").collect()
+        return [sorted(tuple(r) for r in found) for found in (joined, edges)]
+
+    found = rows(**small_shares)
+    assert all(len(r) > 100 for r in found) and max(sent) < 12 * 240
+    assert found == rows()
