@@ -314,3 +314,20 @@ def test_pubmed_files_of_several_splits(spark, tmp_path):
     got = sorted(str(r) for r in read.collect())
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == expected
+
+
+def test_scores_that_stand_together_are_not_shuffled(spark):
+    rows = [(f"d{i // 37:02d}", f"t{i % 37}", i / 1000) for i in range(370)]
+    scores = spark.createDataFrame(rows, "doi string, tag string, similarity double").coalesce(1)
+    lines = sinks.scores_json(scores, tags_per_line=8, together=True)
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert lines.count() == 10 * 5 and max(len(next(iter(json.loads(r.value).values()))) for r in lines.collect()) == 8
+    assert sorted(tuple(r) for r in stores.parse_scores(lines).collect()) == sorted(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)  # documents and lines over several batches
+    try:
+        assert sorted(r.value for r in sinks.scores_json(scores, tags_per_line=8, together=True).collect()) == sorted(r.value for r in lines.collect())
+        apart = scores.orderBy("tag").coalesce(1)
+        assert sorted(tuple(r) for r in stores.parse_scores(sinks.scores_json(apart, 8, together=True)).collect()) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sinks.scores_json(scores.where("false"), together=True).collect() == []
