@@ -194,3 +194,23 @@ def test_chunks_are_not_sent_to_every_share(spark, monkeypatch):
     found = rows(**small_shares)
     assert all(len(r) > 100 for r in found) and max(sent) < 12 * 240
     assert found == rows()
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "share_bytes": 700}])
+def test_ranked_scores_are_in_order(spark, options, monkeypatch):
+    rng = np.random.default_rng(6)
+    chunks = spark.createDataFrame([(f"d{i // 3}", rng.normal(size=4).tolist()) for i in range(90)] + [(None, [1.0, 0.0, 0.0, 0.0])], "doi string, embedding array<double>")
+    vectors = [rng.normal(size=4).tolist() for _ in range(20)]
+    tags = spark.createDataFrame([(f"http://{'ab'[i % 2]}/T{i // 2}", vectors[i // 4]) for i in range(40)], "tag string, embedding array<double>")
+    for most in (10_000, 2):  # the second time all documents but one are large
+        monkeypatch.setattr(sim, "DOCUMENT_CHUNKS", most)
+        rows = [(r.doi, r.similarity, r.tag) for r in sim.score_tags(chunks, tags, 0.2, ranked=True, **options).collect()]
+        assert sorted(rows, key=str) == sorted([(r.doi, r.similarity, r.tag) for r in sim.score_tags(chunks, tags, 0.2, **options).collect()], key=str)
+        named = [r for r in rows if r[0] is not None]
+        assert rows[: len(named)] == named
+        order = [(r[0], r[1]) for r in named]
+        assert order == sorted(order, reverse=True)
+        names = {}
+        for doi, score, tag in rows:
+            names.setdefault((doi, score), []).append(tag.rpartition("/")[2])
+        assert any(len(x) > 1 for x in names.values()) and all(x == sorted(x) for x in names.values())
