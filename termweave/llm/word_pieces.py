@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -12,7 +13,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import sentencepiece
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from termweave.llm.common import give_back
 
@@ -20,14 +21,17 @@ IDLE_SECONDS = 8
 TOGETHER = 100  # new pieces encoded as one text
 SLICE = 1 << 18  # characters cut into pieces at a time; bounds the memory that a long text takes, with its ids
 MARKS = (" ", "\n")
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωА-я]+")  # letters in all versions of Unicode
 BORDER = re.compile(r"(?<=\S) (?=[^\s▁])")
 
 
 class Coder:
-    """``encode`` gives the ids of texts; ``opens`` marks, per blank and line end, the ids whose token begins with it."""
+    """``encode`` gives the ids of texts; ``words`` does so for texts of words of ``LETTERS``, each after a blank; ``opens`` marks, per blank and
+    line end, the ids whose token begins with it.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], opens: dict[str, np.ndarray], tokens: list[bytes]):
-        self.encode, self.opens, self.tokens = encode, opens, tokens
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], opens: dict[str, np.ndarray], tokens: list[bytes], words=None):
+        self.encode, self.opens, self.tokens, self.words = encode, opens, tokens, words or encode
         self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
 
 
@@ -49,6 +53,27 @@ def _opens(tokens: list[bytes]) -> dict[str, np.ndarray]:
     return {mark: np.array([t.startswith(mark.encode()) for t in tokens]) for mark in MARKS}
 
 
+def _letter_words(tokenizer: Tokenizer) -> Callable[[list[str]], list[list[int]]] | None:
+    """Encoder of texts of words of ``LETTERS``: the same model, given the words cut at the blanks and in their byte characters, without the general
+    cutting of texts; None where the vocabulary does more than that.
+    """
+    parts = json.loads(tokenizer.to_str())
+    cutter = parts["pre_tokenizer"] or {}
+    plain = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
+    if not plain or any(parts[k] for k in ("normalizer", "truncation", "padding")) or any(LETTERS.fullmatch(t["content"].strip()) for t in parts["added_tokens"]):
+        return None
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    shown = {b: c for c, b in byte_characters().items()}
+    shown[32] = " " + shown[32]
+
+    def run(texts: list[str]) -> list[list[int]]:
+        cut = [t.encode().decode("latin-1").translate(shown) for t in texts]
+        return [e.ids for e in bare.encode_batch_fast(cut, add_special_tokens=False)]
+
+    return run
+
+
 def byte_level_coder(name: str, special: bool = True) -> Coder:
     """A byte-level vocabulary file; strings of special tokens in texts are plain text unless ``special``."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,7 +84,8 @@ def byte_level_coder(name: str, special: bool = True) -> Coder:
     for token, i in vocabulary.items():
         tokens[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
     # The call that does not work out offsets.
-    return Coder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], _opens(tokens), tokens)
+    encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return Coder(encode, _opens(tokens), tokens, _letter_words(tokenizer))
 
 
 def piece_coder(name: str) -> Coder:
@@ -139,10 +165,18 @@ class PieceCache:
     def _learn(self, new: list[str]) -> np.ndarray:
         """Encode new pieces, many in a text, and return their places. A piece begins where an id's token begins with its blank or line end."""
         places = np.full(len(new), -1, np.int64)
-        alone = [i for i, w in enumerate(new) if w and "▁" not in w]
-        blank = [i for i in alone if not new[i][0].isspace()]
-        line = [i for i in alone if new[i][0] == "\n" and len(new[i]) > 1 and not new[i][1].isspace()]
-        for mark, members in ((" ", blank), ("\n", line)):
+        words, blank, line = [], [], []
+        letters = LETTERS.fullmatch
+        for i, w in enumerate(new):
+            if letters(w):
+                words.append(i)
+            elif not w or "▁" in w:
+                continue
+            elif not w[0].isspace():
+                blank.append(i)
+            elif w[0] == "\n" and len(w) > 1 and not w[1].isspace():
+                line.append(i)
+        for mark, members in ((" ", words), (" ", blank), ("\n", line)):
             group = [new[i] for i in members]
             if not group:
                 continue
@@ -150,7 +184,7 @@ class PieceCache:
             joined = [glue + glue.join(group[i : i + TOGETHER]) for i in range(0, len(group), TOGETHER)]
             place = len(self.starts[0])
             for c, coder in enumerate(self.coders):
-                found = [np.asarray(x, np.int32) for x in coder.encode(joined)]
+                found = [np.asarray(x, np.int32) for x in (coder.words if members is words else coder.encode)(joined)]
                 # What stands before a text's first piece, as the blank that a model puts there, is no piece's.
                 ids = np.concatenate([x[np.argmax(coder.opens[mark][x]) :] for x in found])
                 begins = np.flatnonzero(coder.opens[mark][ids])

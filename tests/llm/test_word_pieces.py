@@ -59,3 +59,16 @@ def test_tokens_are_the_bytes_of_the_text():
     text = " Ünïcode 😀\tand\x00 <s> <0x41>\r\n  x"
     for coder in CODERS:
         assert b"".join(coder.tokens[i] for i in coder.encode([text])[0]) == text.encode()
+
+
+def test_new_words_of_letters_skip_the_general_cutting():
+    coder = wp.byte_level_coder("byte_bpe_50k.json")
+    words = ["the", "Überraschung", "ñandú", "Straße", "Привет", "ΑΒΓδεζ", "s", "xqzzkjw", "œuvre", "IJƵ"]
+    texts = [" " + " ".join(words), *(f" {w}" for w in words)]
+    assert coder.words(texts) == coder.encode(texts)
+    given, plain = [], coder.encode
+    coder.encode = lambda x: given.extend(x) or plain(x)
+    mixed = " ".join(["don't", *words, "a1", "it's,", "naïve,\nZeile", "ⅷ", "日本"])
+    (ids,) = wp.PieceCache([coder]).encode([mixed])[0]
+    assert ids.tolist() == plain([mixed])[0]
+    assert not any(w in t.split() for t in given for w in words)
