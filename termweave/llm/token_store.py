@@ -36,6 +36,7 @@ LANES = 2048
 BLOCK = 1 << 18
 CHAPTER = 1 << 21  # ids that share a frequency table; bounds a task's memory, with the longest document
 TEXT_BYTES = 2 << 20  # tokenised at a time
+PIECES = 1_200_000  # pieces of texts that a process keeps with their ids, some 250 bytes each
 LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 
@@ -126,7 +127,7 @@ def decode_block(data: bytes, n: int, f: np.ndarray, start: np.ndarray, slot_of:
 
 def byte_level(name: str) -> Callable[[list[str]], list[np.ndarray]]:
     """Encoder of a byte-level vocabulary file; ``name`` is a path, or the name of a public vocabulary. One per process."""
-    cache = cached(("token store", name), lambda: PieceCache([byte_level_coder(name)]))
+    cache = cached(("token store", name), lambda: PieceCache([byte_level_coder(name)], PIECES))
     return lambda texts: cache.encode(texts)[0]
 
 

@@ -1,3 +1,4 @@
+import json
 import random
 
 import public_tokenizers
@@ -72,3 +73,35 @@ def test_new_words_of_letters_skip_the_general_cutting():
     (ids,) = wp.PieceCache([coder]).encode([mixed])[0]
     assert ids.tolist() == plain([mixed])[0]
     assert not any(w in t.split() for t in given for w in words)
+
+
+ALONE = [wp.byte_level_coder(BYTES, special=special) for special in (False, True)]
+SIGNS = st.text(st.sampled_from("abZé.,;'!$%*)_<|>1▁\u0301 \n"), max_size=30)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(SIGNS, min_size=1, max_size=6), st.sampled_from([2, 1000]), st.booleans())
+def test_signs_behind_letters_give_the_ids_of_whole_texts(texts, limit, special):
+    coder = ALONE[special]
+    cache = wp.PieceCache([coder], limit=limit)
+    for text in texts * 2:
+        assert cache.encode([text])[0][0].tolist() == coder.encode([text])[0]
+
+
+def test_letters_before_signs_are_encoded_once():
+    coder = wp.byte_level_coder(BYTES)
+    plain, words, given = coder.encode, coder.words, []
+    coder.encode = lambda x: given.extend(x) or plain(x)
+    coder.words = lambda x: given.extend(x) or words(x)
+    cache = wp.PieceCache([coder])
+    for text in (" xqzzkjw, other", " xqzzkjw. xqzzkjw!? xqzzkjw, other***", " xqzzkjw", " a\nZeilig, b\nZeilig. c\nZeilig"):
+        assert cache.encode([text])[0][0].tolist() == plain([text])[0]
+    assert [sum(t.count(w) for t in given) for w in ("xqzzkjw", "other", "Zeilig")] == [1, 1, 1]
+
+
+def test_signs_stay_with_letters_where_an_added_token_has_both():
+    parts = json.loads(TOKENIZER.to_str())
+    assert wp._signs_apart(parts)
+    plain = {"lstrip": False, "rstrip": False, "single_word": False}
+    for token in ({**plain, "content": "a!"}, {**plain, "content": " !"}, {**plain, "content": "!", "single_word": True}):
+        assert not wp._signs_apart({"added_tokens": [token]})
