@@ -90,8 +90,10 @@ def _csv(df: DataFrame, path: str, header: tuple[str, ...] | None = None, **opti
     named.write.mode("overwrite").options(header=True, **options).csv(path)
 
 
-def write_annotations(rows: DataFrame, path: str) -> None:
-    _csv(rows, path)
+def write_annotations(rows: DataFrame, path: str, compression: str = "none", per_file: int = 0) -> None:
+    """``compression`` (say ``gzip``) is for very many rows, which repeat their documents and tags; such a file is read by one task, so ``per_file``
+    bounds its rows."""
+    _csv(rows, path, compression=compression, maxRecordsPerFile=per_file)
 
 
 def write_best_similarities(df: DataFrame, path: str) -> None:

@@ -27,6 +27,7 @@ from termweave.workload.registry import (
 from termweave.workload.vectors import rounded, scores
 
 SQL_DESCRIBED = f"WITH {SQL_VECTORS}, d AS (SELECT * FROM scores JOIN tags USING (tag))"
+ROWS_PER_FILE = 4_000_000  # of a compressed CSV file, which one task reads
 SWEEP = [0.3, 0.33, 0.36, 0.4, 0.45]
 
 
@@ -380,9 +381,10 @@ def run_evaluation(spark, sf):
     FROM docs JOIN scores USING (doi)""",
 )
 def annotation_files(spark, sf):
-    """Annotation rows to CSV and back."""
+    """Annotation rows to compressed CSV and back; rows grow with the square of the vectors."""
     path = scratch(spark)
-    sinks.write_annotations(annotations.annotation_rows(vector_abstracts(spark, sf), scores(spark, sf)), path)
+    rows = annotations.annotation_rows(vector_abstracts(spark, sf), scores(spark, sf))
+    sinks.write_annotations(rows, path, compression="gzip", per_file=ROWS_PER_FILE)
     layout = "doi string, topicalDescriptor string, pmid string, reference_id string"
     return spark.read.schema(layout).option("header", True).csv(path)
 

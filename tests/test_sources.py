@@ -331,3 +331,30 @@ def test_scores_that_stand_together_are_not_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sinks.scores_json(scores.where("false"), together=True).collect() == []
+
+
+def test_compressed_annotations_are_small_files_with_the_same_rows(spark, tmp_path):
+    df = spark.range(3000).selectExpr(
+        "'10.5555/' || id div 300 doi", "'http://example.org/onto/T_' || id % 300 topicalDescriptor", "if(id % 7 = 0, null, id div 300 || '') pmid", "cast(null as string) reference_id"
+    )
+    plain, packed = tmp_path / "plain", tmp_path / "packed"
+    sinks.write_annotations(df.coalesce(1), str(plain))
+    sinks.write_annotations(df.coalesce(1), str(packed), compression="gzip", per_file=1000)
+    files = list(packed.glob("*.csv.gz"))
+    assert len(files) == 3 and not list(plain.glob("*.gz"))
+    assert 4 * sum(f.stat().st_size for f in files) < sum(f.stat().st_size for f in plain.glob("*.csv"))
+    read = [spark.read.schema(df.schema).option("header", True).csv(str(x)) for x in (plain, packed)]
+    assert all(sorted(map(str, r.collect())) == sorted(map(str, df.collect())) for r in read)
+
+
+def test_annotation_files_writes_compressed(spark, monkeypatch):
+    from termweave.workload import reports as queries
+
+    given = {}
+    monkeypatch.setattr(queries.sinks, "write_annotations", lambda rows, path, **options: given.update(options))
+    monkeypatch.setattr(queries, "vector_abstracts", lambda *_: None)
+    monkeypatch.setattr(queries, "scores", lambda *_: None)
+    monkeypatch.setattr(queries.annotations, "annotation_rows", lambda *_: None)
+    monkeypatch.setattr(queries, "scratch", lambda _: "file:///nowhere")
+    queries.annotation_files(spark, "")
+    assert given["compression"] == "gzip" and given["per_file"] > 0
