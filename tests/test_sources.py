@@ -347,7 +347,7 @@ def test_compressed_annotations_are_small_files_with_the_same_rows(spark, tmp_pa
     assert all(sorted(map(str, r.collect())) == sorted(map(str, df.collect())) for r in read)
 
 
-def test_annotation_files_writes_compressed(spark, monkeypatch):
+def test_annotation_files_writes_compressed(spark, monkeypatch, tmp_path):
     from termweave.workload import reports as queries
 
     given = {}
@@ -355,6 +355,6 @@ def test_annotation_files_writes_compressed(spark, monkeypatch):
     monkeypatch.setattr(queries, "vector_abstracts", lambda *_: None)
     monkeypatch.setattr(queries, "scores", lambda *_: None)
     monkeypatch.setattr(queries.annotations, "annotation_rows", lambda *_: None)
-    monkeypatch.setattr(queries, "scratch", lambda _: "file:///nowhere")
+    monkeypatch.setattr(queries, "scratch", lambda _: str(tmp_path))
     queries.annotation_files(spark, "")
     assert given["compression"] == "gzip" and given["per_file"] > 0
