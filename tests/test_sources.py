@@ -245,6 +245,44 @@ def test_graph_per_file(spark, tmp_path):
     assert totals == ["1", "2"]
 
 
+def test_graph_stores_documents_not_scores(spark, tmp_path, monkeypatch):
+    folder, stored = tmp_path / "run", []
+    folder.mkdir()
+    lines = [
+        {"apart": {f"t{i:03}": 0.5 for i in range(50)}},
+        {"apart": {f"t{i:03}": 0.5 for i in range(50, 100)}},
+        {"met": {"a": 0.5, "c": 0.25}},
+        {"met": {"b": 0.5, "c": 0.75}},
+        {"none": {}},
+    ]
+    (folder / "part-0.txt").write_text("\n".join(map(json.dumps, [*lines, *lines[2:4]])))
+    (folder / "part-1.txt").write_text('{"twice": {"a": 0.5, "a": 0.25}}\n')
+    cut = jobs.cut
+    monkeypatch.setattr(jobs, "cut", lambda df: stored.append((df.columns, df.count())) or cut(df))
+    jobs.build_graphs(spark, [str(folder)], AnnotationSpec(), str(tmp_path / "out"), compression="gzip", per_file=100)
+    assert [n for columns, n in stored if "tag" in columns] == [3 + 1]  # the scores of documents whose lines may share a tag
+    files = list((tmp_path / "out").glob("graph=*/part*"))
+    assert len(files) > 3 and all(f.name.endswith(".txt.gz") for f in files)
+    values = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(values) == len(set(values)) == 11 + 3 * (100 + 3 + 1)
+    scores = [v.split('"')[1] for v in values if "similarityScore" in v]
+    assert sorted(scores) == ["0.5"] * 103 + ["0.75"]
+    assert [v.split('"')[1] for v in values if "totalTriplets" in v or "abstractsProcessed" in v] in (["104", "3"], ["3", "104"])
+
+
+def test_graphs_leave_the_settings(spark, tmp_path):
+    triples = graph.annotation_triples(
+        spark.createDataFrame([(f"g{i % 3}", "10.1/a", f"http://e/{i}", 0.5) for i in range(30)], "graph string, doi string, tag string, similarity double"),
+        by=["graph"],
+    )
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    sinks.write_graphs(triples.coalesce(1), str(tmp_path / "out"))
+    (first,) = (tmp_path / "out" / "graph=g0").glob("part*")
+    assert len(first.read_text().splitlines()) == 30
+    assert len(list((tmp_path / "out").glob("graph=*/part*"))) == 3
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
 def test_truth_takes_numbered_files_only(spark, tmp_path):
     for name in ("abstracts_1", "abstracts_22", "abstracts_1x", "my_abstracts_3", "abstracts_"):
         (tmp_path / f"{name}.json").write_text(json.dumps({"doi": name, "descriptor": ["D1"]}))
