@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,26 @@ def test_workflow(spark, fixtures, tmp_path):
         jobs.annotate_checked(spark, spec, chunk_path, tag_path)
 
 
+def test_workflow_checkpoints_no_texts(spark, fixtures, tmp_path, monkeypatch):
+    """Texts and vectors are kept compressed, and only as long as the run; published files can be compressed, too."""
+    docs, stored, cut = tmp_path / "docs.json", [], jobs.cut
+    monkeypatch.setattr(jobs, "cut", lambda df: stored.append(df.columns) or cut(df))
+    scratch = ensure_checkpoint_dir(spark).removeprefix("file:")
+    left = {p for p in os.listdir(scratch) if p.startswith("termweave-")}
+    spec = AnnotationSpec.from_dict(config(fixtures))
+    spec.abstract_files, spec.abstract_dirs, spec.compression = [str(docs)], [], "gzip"
+    rows = [{"title": f"Title {i}", "abstract": f"Rose number {i}.", "doi": f"10.1/{i % 5}", "pmid": str(i)} for i in range(8)]
+    for changed in (rows, [*rows[:6], {**rows[6], "abstract": "A fern."}, {**rows[2], "pmid": "1", "abstract": "My rose."}]):
+        docs.write_text("\n".join(map(json.dumps, changed)))
+        jobs.run_workflow(spark, spec, str(tmp_path / "out"))
+    assert not [c for c in stored if {"abstract", "record", "embedding"} & set(c)]
+    assert {p for p in os.listdir(scratch) if p.startswith("termweave-")} == left
+    titles = spark.read.parquet(str(tmp_path / "out" / "chunk_embeddings")).where("chunk_idx = 1").select("doi", "text")
+    assert sorted(map(tuple, titles.collect())) == [(f"10.1/{i}", "My rose." if i == 2 else f"Rose number {i}.") for i in range(5)]
+    for name in ("queryresults", "best_similarities", "graph"):
+        assert {p.suffix for p in (tmp_path / "out" / name).glob("part*")} == {".gz"}
+
+
 def test_workflow_redoes_what_changed(spark, fixtures, tmp_path):
     changed = tmp_path / "docs.json"
     rose = {"title": "A rose", "abstract": "My rose grows by the gate.", "doi": "10.1/new"}

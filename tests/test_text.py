@@ -112,6 +112,13 @@ def test_first_per_key_with_a_hot_key(spark):
     assert rows.where("doi = 'hot'").first().n == 2997
 
 
+def test_dedupe_stored(spark):
+    df = spark.createDataFrame([("a", 2), ("a", 1), ("b", 5), ("c", 3), ("c", 3), ("d", 0)], "doi string, n int").select("n", "doi").repartition(3)
+    for rows in (df, df.where("doi IN ('b', 'd')"), df.where("n < 0")):
+        got = documents.dedupe_stored(rows, F.col("n"))
+        assert got.columns == ["n", "doi"] and sorted(got.collect()) == sorted(documents.dedupe_documents(rows, F.col("n")).select("n", "doi").collect())
+
+
 def test_chunk_vector_slices(spark):
     df = spark.createDataFrame([("d", i, [float(i)]) for i in reversed(range(7))], "doi string, chunk_idx int, embedding array<float>")
     rows = {(r.doi, r.slice): r.embeddings for r in documents.collect_chunk_vectors(df, 3).collect()}
