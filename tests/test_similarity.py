@@ -214,3 +214,34 @@ def test_ranked_scores_are_in_order(spark, options, monkeypatch):
         for doi, score, tag in rows:
             names.setdefault((doi, score), []).append(tag.rpartition("/")[2])
         assert any(len(x) > 1 for x in names.values()) and all(x == sorted(x) for x in names.values())
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+@pytest.mark.parametrize("width", [1, 64, 150])
+def test_nearest_by_whole_numbers(monkeypatch, kind, width):
+    """Sums of whole numbers leave few candidates of usual vectors, all that count of any."""
+    rng = np.random.default_rng(5)
+    usual = lambda n: rng.normal(size=(n, width))
+    makers = [
+        usual,
+        lambda n: rng.integers(0, 3, (n, width)),
+        lambda n: np.where(rng.random((n, width)) < 0.01, 1e6, usual(n)),
+        lambda n: np.full((n, width), 0.5),
+        lambda n: 1e8 + usual(n),
+        lambda n: usual(n) * 1e-300,
+    ]
+    found, near = [], sim._Steps.near
+    monkeypatch.setattr(sim._Steps, "near", lambda self, *a: found.append(near(self, *a)) or found[-1])
+    for make in makers:
+        x, y = make(140).astype(kind), make(1100).astype(kind)
+        distances = np.zeros((len(x), len(y)))
+        for k in range(width):
+            distances += np.abs(x[:, k, None].astype(float) - y[None, :, k].astype(float))
+        best, where = -distances.min(axis=1), distances.argmin(axis=1)
+        for known in (np.full(len(x), -np.inf), best + np.where(np.arange(len(x)) % 2, 0.1, -0.1) * np.abs(best)):
+            top, at = sim._nearest(x, y, known)
+            better = best > known
+            assert np.array_equal(top[better], best[better]) and np.array_equal(at[better], where[better])
+            assert (top[~better] <= known[~better]).all()
+        if make is usual:
+            assert len(found) == 12 and sum(len(i) for i, _ in found) < 0.02 * 2 * distances.size
